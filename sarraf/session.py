@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +28,24 @@ def local_session(cores: str | int = "*", app: str = "sarraf", **conf: str) -> S
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where it is unset."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; one is made only where it is unset."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sarraf-checkpoint-"))
+    there = sc._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return there.get()
+    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sarraf-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` through the shared checkpoint folder; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of `df` through a table written to the shared checkpoint folder.
+
+    The table survives lost executors, is columnar and compressed, and a later plan reads
+    only the columns it needs of it; unlike a checkpointed plan it carries no constraints
+    over, which iterative plans would pile up. The folder is the session's, and goes with it.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
