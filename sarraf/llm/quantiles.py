@@ -76,7 +76,7 @@ def percentiles(counts: DataFrame, groups: list[str], fractions: list[float], fi
     found = []
     while active.count() > finish:
         proposals = active.mapInArrow(local_medians, "_t string, median double, weight long")
-        pivots = proposals.groupBy("_t").agg(F.percentile("median", 0.5, "weight").alias("_p"))
+        pivots = proposals.groupBy("_t").agg(F.percentile("median", 0.5, F.col("weight")).alias("_p"))
         pivots = cut(pivots)
         below, equal = F.sum(F.when(F.col("value") < F.col("_p"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("value") == F.col("_p"), F.col("n")).otherwise(0))
         three = active.join(pivots, "_t").groupBy("_t", "_p").agg(below.alias("_lt"), equal.alias("_eq"))

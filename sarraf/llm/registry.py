@@ -1,6 +1,7 @@
 """All queries of the llm problems and their SQL."""
 
-from sarraf.llm import queries_lake
+from sarraf.llm import queries_lake, queries_names
 
-QUERIES = {**queries_lake.QUERIES}
-SQL = {**queries_lake.SQL}
+_MODULES = (queries_names, queries_lake)
+QUERIES = {n: q for m in _MODULES for n, q in m.QUERIES.items()}
+SQL = {n: s for m in _MODULES for n, s in m.SQL.items()}
