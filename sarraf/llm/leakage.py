@@ -27,15 +27,21 @@ from sarraf.session import cut
 
 #: Digits of other scripts, and letters of Arabic written for one another.
 _PLAIN = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹أإآىة", "01234567890123456789ااايه")
-_DROP = re.compile(r"[ً-ٰٟـ­​‌‍]|(?<=\d)[,٬](?=\d)|-\n\s*(?=[a-z])")
-_WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[ً-ٰٟـ­​‌‍]")
+_WORD = re.compile(r"\d[\d,٬]*|[^\W_]+")
 
 WIDTH, STEP = 24, 12  # words of a passage; passages overlap by half
 
 
 def words(text: str) -> list[str]:
     """The words of a text without case, marks and punctuation; long numbers without separators."""
-    return _WORD.findall(_DROP.sub("", text.lower().translate(_PLAIN)))
+    text = text.lower()
+    if not text.isascii():
+        text = _MARKS.sub("", text.translate(_PLAIN)).replace("٬", ",")
+    if "-\n" in text:
+        text = text.replace("-\n", "")
+    found = _WORD.findall(text)
+    return [w.replace(",", "") for w in found] if "," in text else found
 
 
 @dataclass
@@ -86,12 +92,28 @@ def _passages(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.concatenate([own, own[back] - 1]), np.concatenate([flat, flat[back]]), np.repeat(np.arange(len(sizes)), blocks), int(blocks.sum())
 
 
-def _entries(lists: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Different (passage, word) pairs in order, foreign words per passage, documents, passages."""
+def _chunks(batch: pa.RecordBatch, column: str, docs: int = 256) -> Iterator[tuple[int, pa.ListArray]]:
+    """The lists of a batch, a few documents at a time: their tables then fit the caches."""
+    lists = batch.column(column)
+    for start in range(0, batch.num_rows, docs):
+        yield start, lists.slice(start, docs)
+
+
+def _entries(lists: pa.ListArray, size: int, weighing: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Different (passage, word) pairs in order, foreign words per passage, documents, passages.
+
+    With `weighing`, a flag for each word of the vocabulary, only the words flagged.
+    """
     passage, word, doc, n = _passages(lists)
     foreign = np.bincount(passage[word < 0], minlength=n)
-    known = word >= 0
-    pairs = np.unique(passage[known] * size + word[known])
+    known = word >= 0 if weighing is None else np.r_[weighing, False][word]  # -1 is the last
+    cells = passage[known] * size + word[known]
+    if n * size <= 1 << 26:
+        table = np.zeros(n * size, bool)
+        table[cells] = True
+        pairs = np.flatnonzero(table)
+    else:
+        pairs = np.unique(cells)
     return pairs // size, pairs % size, foreign, doc, n
 
 
@@ -101,9 +123,10 @@ def passage_frequencies(coded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size, np.int64), 0
         for batch in batches:
-            _, word, _, _, more = _entries(batch.column(0), size)
-            total += np.bincount(word, minlength=size)
-            n += more
+            for _, lists in _chunks(batch, "words"):
+                _, word, _, _, more = _entries(lists, size)
+                total += np.bincount(word, minlength=size)
+                n += more
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, total[at]])], names=["word", "n"])
 
@@ -120,25 +143,28 @@ def weights(frequencies: np.ndarray, passages: int, common: float = 0.05) -> np.
     return np.where(frequencies > common * max(passages, 20), 0.0, idf)
 
 
-def _weigh(row: np.ndarray, word: np.ndarray, foreign: np.ndarray, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries that weigh something, their weights over the length of the passage, and the known share of its square."""
-    keep = idf[word] > 0
-    row, word = row[keep], word[keep]
+def _weigh(row: np.ndarray, word: np.ndarray, foreign: np.ndarray, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of the entries over the length of their passage, and the known share of its square."""
     w = idf[word]
     known = np.bincount(row, w * w, minlength=n)
     strange = idf.max(initial=1.0) / 2
     length = np.sqrt(known + foreign * strange * strange)
     length[length == 0] = 1
-    return row, word, w / length[row], known / (length * length)
+    return (w / length[row]).astype(np.float32), known / (length * length)
 
 
-def _row_sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the lines of `values` over equal, ascending `row`."""
-    out = np.zeros((n, values.shape[1]), values.dtype)
-    if len(row):
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        out[row[first]] = np.add.reduceat(values, first, axis=0)
-    return out
+def _add_lines(out: np.ndarray, index: np.ndarray, lines: np.ndarray) -> None:
+    """out[index] += lines for ascending `index`: all first lines of an index, all second ones, and so on."""
+    if not len(index):
+        return
+    first = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    counts = np.diff(np.r_[first, len(index)])
+    by_count = np.argsort(-counts, kind="stable")
+    first, counts = first[by_count], counts[by_count]
+    for k in range(counts[0]):
+        upto = np.searchsorted(-counts, -k, side="left")
+        at = first[:upto] + k
+        out[index[at]] += lines[at]
 
 
 def latent_basis(coded: DataFrame, idf: np.ndarray, rank: int = 128, extra: int = 32, seed: int = 7) -> np.ndarray:
@@ -154,12 +180,13 @@ def latent_basis(coded: DataFrame, idf: np.ndarray, rank: int = 128, extra: int
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, width), np.float32)
         for batch in batches:
-            row, word, foreign, _, n = _entries(batch.column(0), size)
-            row, word, w, _ = _weigh(row, word, foreign, idf, n)
-            w = w.astype(np.float32)[:, None]
-            mixed = _row_sums(row, w * omega[word], n)
-            order = np.argsort(word, kind="stable")
-            total += _row_sums(word[order], w[order] * mixed[row[order]], size)
+            for _, lists in _chunks(batch, "words"):
+                row, word, foreign, _, n = _entries(lists, size, idf > 0)
+                w, _ = _weigh(row, word, foreign, idf, n)
+                mixed = np.zeros((n, width), np.float32)
+                _add_lines(mixed, row, w[:, None] * omega[word])
+                order = np.argsort(word, kind="stable")
+                _add_lines(total, word[order], w[order, None] * mixed[row[order]])
         at = np.flatnonzero(np.abs(total).sum(axis=1))
         yield _lines(at, total[at])
 
@@ -206,7 +233,7 @@ def common_subsequence(masks: dict[int, int], length: int, sequence: list[int])
     return length - row.bit_count()
 
 
-def covered_words(item: np.ndarray, doc: np.ndarray, fact: np.ndarray, least: int = 3) -> tuple[int, int, int]:
+def covered_words(item: np.ndarray, doc: list[int], fact: np.ndarray, least: int = 3) -> tuple[int, int, int]:
     """(words of the item in common runs, facts in them, those facts agreed on).
 
     A run is a stretch along one diagonal of at least `least` equal words in which single
@@ -218,7 +245,7 @@ def covered_words(item: np.ndarray, doc: np.ndarray, fact: np.ndarray, least: in
         places.setdefault(w, []).append(i)
     ends: dict[tuple[int, int], tuple[int, int, int]] = {}  # (item, doc) place -> start, equal words, last start in doc
     runs: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for j, w in enumerate(doc.tolist()):
+    for j, w in enumerate(doc):
         for i in places.get(w, ()):
             best = None
             for di, dj in ((1, 1), (2, 2), (2, 1), (1, 2)):
@@ -245,8 +272,8 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
 
     All documents and their whole texts are searched. `near` is the least latent cosine of a
     passage of the document with one of the item for the pair to be verified; passages of
-    which foreign words make up so much that no cosine can reach half of it are passed over,
-    a bound and no guess. Null ids, null, empty and wordless texts and items give no rows; a
+    which foreign words make up so much that no cosine can reach it are passed over, a bound
+    and no guess. Null ids, null, empty and wordless texts and items give no rows; a
     text may be of any length; equal texts each get their rows; extra columns are ignored.
     """
     fitted = fit_items(items, item, item_text)
@@ -278,39 +305,36 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
         for i, w in enumerate(t):
             m[w] = m.get(w, 0) | 1 << i
         masks.append(m)
-    ids, texts = np.array(fitted.ids), fitted.texts
+    texts = fitted.texts
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            row, word, foreign, owner_doc, n = _entries(lists, size)
-            row, word, w, known = _weigh(row, word, foreign, idf, n)
-            able = known >= (near / 2) ** 2
-            keep = able[row]
-            row, word, w = row[keep], word[keep], w[keep]
-            at = np.flatnonzero(able)
-            place = np.cumsum(able) - 1
-            latent = _row_sums(place[row], w.astype(np.float32)[:, None] * basis[word], len(at))
-            lengths = np.linalg.norm(latent, axis=1, keepdims=True)
-            latent /= np.where(lengths == 0, 1, lengths)
-            pairs = set()
-            for s in range(0, len(at), 4096):
-                r, q = np.nonzero(latent[s : s + 4096] @ queries.T >= near)
-                pairs.update(np.unique(owner_doc[at[s + r]].astype(np.int64) * len(texts) + owner[q]).tolist())
-            found = []
-            offsets, flat = lists.offsets.to_numpy(), None
-            for pair in sorted(pairs):
-                d, i = divmod(pair, len(texts))
-                if flat is None:
-                    flat = lists.values.to_numpy()
-                mine = flat[offsets[d] : offsets[d + 1]]
-                need = share * len(texts[i])
-                if common_subsequence(masks[i], len(texts[i]), mine.tolist()) < 0.7 * need:
+            for start, lists in _chunks(batch, "words"):
+                row, word, foreign, owner_doc, n = _entries(lists, size, idf > 0)
+                w, known = _weigh(row, word, foreign, idf, n)
+                able = known >= near * near
+                keep = able[row]
+                row, word, w = row[keep], word[keep], w[keep]
+                at = np.flatnonzero(able)
+                latent = np.zeros((len(at), basis.shape[1]), np.float32)
+                _add_lines(latent, (np.cumsum(able) - 1)[row], w[:, None] * basis[word])
+                lengths = np.linalg.norm(latent, axis=1, keepdims=True)
+                latent /= np.where(lengths == 0, 1, lengths)
+                r, q = np.nonzero(latent @ queries.T >= near)
+                pairs = np.unique(owner_doc[at[r]].astype(np.int64) * len(texts) + owner[q])
+                if not len(pairs):
                     continue
-                inside, told, true = covered_words(texts[i], mine, facts[i])
-                if inside >= need and true >= 0.6 * told:
-                    found.append((d, i, inside / len(texts[i])))
-            at_doc = np.array([f[0] for f in found], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at_doc)), pa.array(ids[[f[1] for f in found]].astype(np.int64) if found else np.array([], np.int64)), pa.array([f[2] for f in found], pa.float64())], names=["doc_id", "item_id", "share"])
+                offsets, flat, found, last = lists.offsets.to_numpy(), lists.values.to_numpy(), [], -1
+                for d, i in zip((pairs // len(texts)).tolist(), (pairs % len(texts)).tolist()):
+                    if d != last:
+                        mine, last = flat[offsets[d] : offsets[d + 1]].tolist(), d
+                    need = share * len(texts[i])
+                    if common_subsequence(masks[i], len(texts[i]), mine) < 0.7 * need:
+                        continue
+                    inside, told, true = covered_words(texts[i], mine, facts[i])
+                    if inside >= need and true >= 0.6 * told:
+                        found.append((d, i, inside / len(texts[i])))
+                at_doc = pa.array([start + f[0] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at_doc), pa.array([fitted.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["doc_id", "item_id", "share"])
 
     return coded.mapInArrow(search, schema).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
