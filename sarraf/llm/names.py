@@ -229,11 +229,12 @@ def radius_join(objects: DataFrame, radius: int = 2, pivots: int = 16, sample: i
         F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda i: F.get("_d", i) <= F.col("_least") + 2 * radius).alias("cells")))
     located = cut(objects.join(placed, "token"))
     homes = located.select("key", F.col("token").alias("a"), F.col("home").alias("cell"))
-    guests = located.select("key", F.col("token").alias("b"), F.col("home").alias("_home"), F.explode("cells").alias("cell"))
+    guests = located.select("key", F.col("token").alias("b"), F.explode("cells").alias("cell"))
     reach = F.least(F.lit(radius), F.floor(F.greatest(F.length("a"), F.length("b")) / 3).cast("int"))
-    within = homes.join(guests, ["key", "cell"]).where((F.abs(F.length("a") - F.length("b")) <= radius) & (F.levenshtein("a", "b", radius) >= 0)).where(F.levenshtein("a", "b") <= reach)
-    # A pair with two homes meets in both of them: keep the meeting in the home of the smaller.
-    return within.where("a <= b").select("key", "a", "b").unionByName(within.where("a > b and cell <> _home").select("key", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edits = F.levenshtein("a", "b", radius)  # -1 beyond the radius
+    met = homes.join(guests, ["key", "cell"]).where((F.abs(F.length("a") - F.length("b")) <= radius) & (edits >= 0) & (edits <= reach))
+    # A pair with two homes meets in both of them.
+    return met.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 _FORMS = "employee_id string, en array<string>, ar array<string>, anchors array<string>"
@@ -257,7 +258,7 @@ def link_names(people: DataFrame, aliases: dict[str, frozenset[str]], radius: in
 
     named = people.select(F.col("id").cast("string"), "name_en", "name_ar").mapInArrow(forms, _FORMS).withColumnRenamed("employee_id", "id")
     keyed = people.select(F.col("id").cast("string").alias("id"), F.explode("keys").alias("key")).where("id is not null and key is not null").distinct()
-    records = named.where("size(en) > 0 or size(ar) > 0").distinct().join(keyed, "id")
+    records = cut(named.where("size(en) > 0 or size(ar) > 0").distinct().join(keyed, "id"))
     # One class per key and pair of names; its smallest record stands for it.
     classes = cut(records.groupBy("key", "en", "ar", "anchors").agg(F.min("id").alias("rep")))
     copies = records.join(classes, ["key", "en", "ar", "anchors"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
