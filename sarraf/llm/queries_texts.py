@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sarraf.llm import leakage
+from sarraf.llm import leakage, subjects
 from sarraf.sources.catalog import Lake
 
 
@@ -14,5 +15,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.find_leaks(lake.documents, "doc_id", "text", lake.eval_items, "item_id", "text").select("doc_id", "item_id")
 
 
-QUERIES = {"p8_found": p8_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subject areas that at least one paragraph of a document is about."""
+    lake = Lake(spark, folder)
+    rows = subjects.subject_areas(lake.documents, "doc_id", "text", lake.subject_labels, "doc_id", "subject_code", lake.eval_items, "text")
+    return rows.select("doc_id", F.col("subject").alias("subject_code"))
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p10_found)}
 SQL: dict[str, str] = {}
