@@ -7,7 +7,8 @@ their terms, averages them per term, joins the terms back and averages them per
 seeds are clamped towards their labels, and a document keeps a share of every subject it
 shows. A term is verified if it is common enough to be trusted and points mostly to one
 subject. At last every sentence is given the subject of its terms, and a document is about a
-subject if one of its paragraphs is: if that paragraph holds at least two such sentences.
+subject if one of its paragraphs is: if that paragraph holds at least two such sentences,
+and they are a good part of all its sentences with a subject.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from sarraf.session import cut
 _MARKS = re.compile("[ً-ٰٟـ­​‌‍]")
 _LETTERS = str.maketrans("أإآىة", "ااايه")
 _BLOCK = re.compile(r"\n\s*\n")
-_SENTENCE = re.compile(r"[.!?؟;:]+(?:\s+|$)|\n")
+_SENTENCE = re.compile(r"[.!؟]+(?:\s+|$)|\n")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _INNER = re.compile(r"[.!?؟]\s")
 
@@ -154,11 +155,12 @@ def propagate(coded: DataFrame, seeds: DataFrame, subjects: list[str], rounds: i
         docs = cut(means.join(held, "doc", "left").select("doc", *[F.when(m >= 0.15, m).otherwise(0.0).alias(n) for m, n in zip(mixed, names)]).select("doc", *_shares(names)))
 
 
-def subject_areas(documents: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, label: str, items: DataFrame, item_text: str, rounds: int = 1, least: int = 2, most_terms: int = 200_000) -> DataFrame:
+def subject_areas(documents: DataFrame, doc: str, text: str, labels: DataFrame, label_doc: str, label: str, items: DataFrame, item_text: str, rounds: int = 1, least: int = 2, part: float = 0.35, most_terms: int = 200_000) -> DataFrame:
     """`doc_id`, `subject`: every subject that at least one paragraph of a document is about.
 
     Labels without document or subject are passed over, repeated ones count once; subjects
-    are compared without case and surrounding blanks. Null and empty texts have no subject,
+    are compared without case and surrounding blanks. A paragraph is about a subject if at
+    least `least` of its sentences, and the share `part` of those with any subject, are. Null and empty texts have no subject,
     nor have sentences worded like the evaluation items. `most_terms` bounds the table of
     verified terms each task holds. Without labels, or over an empty table, there are no rows.
     """
@@ -194,7 +196,8 @@ def subject_areas(documents: DataFrame, doc: str, text: str, labels: DataFrame,
             best = scores.argmax(axis=1)
             sure = scores.max(axis=1) >= np.maximum(0.9, 0.5 * scores.sum(axis=1))
             cells, counts = np.unique(np.stack([of_doc, places, best], axis=1)[sure].astype(np.int64), axis=0, return_counts=True)
-            about = cells[counts >= least]
+            _, of = np.unique(cells[:, 0] << 32 | cells[:, 1], return_inverse=True)
+            about = cells[(counts >= least) & (counts >= part * np.bincount(of, counts)[of])]
             rows = np.unique(about[:, [0, 2]], axis=0)
             yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows[:, 0])), names.take(pa.array(rows[:, 1]))], names=["doc_id", "subject"])
 
