@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from sarraf.plans import problems
+from sarraf.plans import problems, relational
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **relational.query.queries}
+SQL = {**problems.SQL, **relational.query.sql}
