@@ -1,6 +1,6 @@
 """All queries of the core and their SQL."""
 
-from sarraf.plans import problems, relational
+from sarraf.plans import composite, problems, relational
 
-QUERIES = {**problems.QUERIES, **relational.query.queries}
-SQL = {**problems.SQL, **relational.query.sql}
+QUERIES = {**problems.QUERIES, **relational.query.queries, **composite.query.queries}
+SQL = {**problems.SQL, **relational.query.sql, **composite.query.sql}
