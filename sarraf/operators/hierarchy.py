@@ -12,6 +12,7 @@ nodes without children hang on their parent with offset 1.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ def combine_local(node: np.ndarray, parent: np.ndarray, weight: np.ndarray) -> t
     """Combine the links of one partition: ext, off, tag, on_cycle for each node.
 
     `ext` is the first ancestor that has no link here and `off` the weight up to it. In or
-    above a cycle that lies wholly within these links, ext is None; tag then names the cycle
-    by its smallest node here, and on_cycle tells its members.
+    above a cycle that lies wholly within these links, ext is None; tag then names a node of
+    the cycle, and on_cycle tells its members.
     """
     n = len(node)
     codes, ids = pd.factorize(np.concatenate([node, parent]), sort=True)
@@ -85,8 +86,9 @@ def _double(links: DataFrame) -> DataFrame:
 def resolve(links: DataFrame, links_per_task: int = 1_000_000) -> DataFrame:
     """`node`, `root`, `depth`, `tag`, `on_cycle` for links (`node`, `parent`), one per node.
 
-    Nodes in or above a cycle have a null root and the tag of the cycle; on_cycle is certain
-    where true, but cycle members passed over by a combined link are still to be found.
+    Nodes in or above a cycle have a null root and a tag; on_cycle is certain where true, but
+    cycle members passed over by a combined link are still to be found, and tags of one cycle
+    may differ.
     A level splits its links into so many partitions that each has about `links_per_task`;
     where a level leaves more than nine tenths, links are doubled by a join instead.
     """
@@ -108,20 +110,23 @@ def resolve(links: DataFrame, links_per_task: int = 1_000_000) -> DataFrame:
             current = cut(_needed(doubled))
             remaining = current.count()
         left = remaining
-    top = levels.pop()
-    found = top.select("node", F.col("ext").alias("root"), F.col("off").alias("depth"), "tag", "on_cycle")
+    shape = ("node", F.col("ext").alias("root"), F.col("off").alias("depth"), "tag", "on_cycle")
+    # Nodes found in cycles of one partition have left the levels above, which still point to them.
+    looped = cut(reduce(DataFrame.unionByName, [level.where("tag is not null").select(*shape) for level in levels]))
+    found = levels[-1].select(*shape).limit(0)
     while levels:
         below = levels.pop()
-        up = found.select(F.col("node").alias("ext"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("tag").alias("_tag"), F.lit(True).alias("_hit"))
-        ons = found.where("on_cycle").select("node", F.lit(True).alias("_on"))
+        known = found.unionByName(looped.join(found, "node", "left_anti"))
+        up = known.select(F.col("node").alias("ext"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("tag").alias("_tag"), F.lit(True).alias("_hit"))
+        ons = known.where("on_cycle").select("node", F.lit(True).alias("_on"))
         lifted = below.join(up, "ext", "left").join(ons, "node", "left")
-        found = lifted.select(
+        found = cut(lifted.select(
             "node",
             F.when(F.col("_hit"), F.col("_root")).otherwise(F.col("ext")).alias("root"),
             (F.col("off") + F.coalesce("_depth", F.lit(0))).alias("depth"),
             F.coalesce("tag", "_tag").alias("tag"),
             (F.col("on_cycle") | F.coalesce("_on", F.lit(False))).alias("on_cycle"),
-        )
+        ))
     return found
 
 
@@ -138,16 +143,15 @@ def hierarchy(links: DataFrame, node: str, parent: str, links_per_task: int = 1_
     """
     nodes = links.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
     nodes = cut(nodes)
-    found = cut(resolve(nodes.where("parent is not null"), links_per_task))
+    found = resolve(nodes.where("parent is not null"), links_per_task)
     roots = nodes.where("parent is null").select("node", F.col("node").alias("root_id"), F.lit(0).alias("depth"), F.lit("tree").alias("kind"))
     trees = found.where("tag is null").select("node", F.col("root").alias("root_id"), F.col("depth").cast("int"), F.lit("tree").alias("kind"))
     looped = found.where("tag is not null")
     if looped.isEmpty():
         return roots.unionByName(trees).withColumnRenamed("node", node)
-    inside = cut(nodes.join(looped.select("node", "tag"), "node"))
-    members = cut(_cycle_members(inside, cut(looped.where("on_cycle").select("node", "tag"))))
-    names = members.groupBy("tag").agg(F.min("node").alias("root_id"))
-    cycles = members.join(names, "tag").select("node", "root_id", F.lit(0).alias("depth"), F.lit("cycle").alias("kind"))
+    inside = cut(nodes.join(looped.select("node"), "node"))
+    members = cut(_cycle_members(inside, cut(looped.where("on_cycle").select("node"))))
+    cycles = cut(_least_on_cycle(inside.join(members, "node", "left_semi")).select("node", F.col("least").alias("root_id"), F.lit(0).alias("depth"), F.lit("cycle").alias("kind")))
     # With the members as roots, what is left is a forest again.
     rest = resolve(inside.join(members, "node", "left_anti").select("node", "parent"), links_per_task)
     into = rest.join(cycles.select(F.col("node").alias("root"), "root_id"), "root").select("node", "root_id", F.col("depth").cast("int"), F.lit("into_cycle").alias("kind"))
@@ -158,13 +162,24 @@ def _cycle_members(inside: DataFrame, known: DataFrame) -> DataFrame:
     """All nodes on cycles, from some of each: parents of members are members."""
     members, frontier = known, known
     while True:
-        parents = inside.select("node", "parent").join(frontier.select("node"), "node", "left_semi").select(F.col("parent").alias("node")).distinct()
-        frontier = cut(parents.join(members, "node", "left_anti").join(inside.select("node", "tag"), "node"))
+        parents = inside.join(frontier, "node", "left_semi").select(F.col("parent").alias("node")).distinct()
+        frontier = cut(parents.join(members, "node", "left_anti"))
         if frontier.isEmpty():
             return members
         members = cut(members.unionByName(frontier))
 
 
+def _least_on_cycle(members: DataFrame) -> DataFrame:
+    """`node`, `least`: the smallest node of the cycle, over twice as many links each round."""
+    state = cut(members.select("node", F.col("parent").alias("next"), F.least("node", "parent").alias("least")))
+    while True:
+        ahead = state.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"))
+        both = cut(state.join(ahead, "next").select("node", F.col("_next").alias("next"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("_new")))
+        state = both.drop("_new")
+        if both.where("_new").isEmpty():
+            return state.select("node", "least")
+
+
 def paths(links: DataFrame, node: str, parent: str, found: DataFrame) -> DataFrame:
     """The whole chain of each node of a tree or into a cycle, from the root down: `path`.
 
