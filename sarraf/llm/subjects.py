@@ -120,13 +120,14 @@ def _shares(columns: list[str]) -> list[Column]:
     return [(F.col(c) / F.when(total > 0, total).otherwise(1.0)).alias(c) for c in columns]
 
 
-def propagate(coded: DataFrame, seeds: DataFrame, subjects: list[str], rounds: int = 1, clamp: float = 0.8, least_docs: int = 5, most_share: float = 0.3, sure: float = 0.35) -> DataFrame:
+def propagate(coded: DataFrame, seeds: DataFrame, subjects: list[str], rounds: int = 1, clamp: float = 0.8, least_docs: int = 5, most_share: float = 0.6, sure: float = 0.35) -> DataFrame:
     """`term` and one column per subject: the verified terms and their shares of the subjects.
 
     `seeds` has `doc` and `subject`, several rows a document where it has several subjects.
     `least_docs` and `most_share` bound how many documents a term may stand in, `sure` is the
     least share of its first subject, which must also be twice that of any other; subjects
-    are evened out by their size, so a term of no subject has about equal shares.
+    are evened out by their size, so a term of no subject has about equal shares. With only
+    two or three subjects, often found together, shares lie close and few terms are verified.
     """
     names = [f"s{i}" for i in range(len(subjects))]
     edges = coded.select("doc", F.explode(F.array_distinct("terms")).alias("term"))
