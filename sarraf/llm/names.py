@@ -211,7 +211,7 @@ def pick_pivots(tokens: DataFrame, count: int = 16, sample: int = 4096) -> list[
     return pivots
 
 
-def radius_join(objects: DataFrame, radius: int = 2, pivots: int = 16, sample: int = 4096) -> DataFrame:
+def radius_join(objects: DataFrame, radius: int = 2, pivots: int = 6, sample: int = 4096) -> DataFrame:
     """`key`, `a`, `b`: all pairs a <= b of tokens of one key within `radius` edits, equal ones included.
 
     `objects` has `key` and `token`. Cells are made of different tokens, so copies cost nothing.
@@ -240,7 +240,7 @@ def radius_join(objects: DataFrame, radius: int = 2, pivots: int = 16, sample: i
 _FORMS = "employee_id string, en array<string>, ar array<string>, anchors array<string>"
 
 
-def link_names(people: DataFrame, aliases: dict[str, frozenset[str]], radius: int = 2, pivots: int = 16) -> DataFrame:
+def link_names(people: DataFrame, aliases: dict[str, frozenset[str]], radius: int = 2, pivots: int = 6) -> DataFrame:
     """`a`, `b`: ids of records whose names are forms of one and that agree on a key.
 
     `people` has `id`, `name_en`, `name_ar` and `keys`, an array of strings of which the first
