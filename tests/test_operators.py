@@ -172,3 +172,16 @@ def test_monthly_increments_replace_months(spark, tmp_path):
         step = events.monthly_increments(stream, out, f"{tmp_path}/c", lambda batch, months: whole.join(months, "period", "left_semi").groupBy("period").agg(F.sum("v").alias("v"), F.count("*").alias("n")))
         step.trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(tuple(r) for r in store.read_by_period(spark, out).collect()) == [(202401, 1, 1), (202402, 9, 2)]
+
+
+def test_changes_are_kept_across_batches(spark, tmp_path):
+    schema = "k string, o long, v double"
+    parts = [[("a", 1, 5.0), ("a", 2, 5.0), ("b", 1, 1.0)], [("a", 3, 6.0), ("b", 2, 1.0)], [("a", 4, 6.0), ("b", 3, 2.0)]]
+    got = set()
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = events.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame(part, schema).schema)
+        run = events.changes(stream, "k", "o", "v").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        run.awaitTermination(120)
+        got = {tuple(r) for r in spark.read.schema("k string, o long, old double, new double").parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", 3, 5.0, 6.0), ("b", 3, 1.0, 2.0)}
