@@ -117,3 +117,15 @@ def run_rule(rule: Rule, rows: DataFrame, key: str, period: str) -> DataFrame:
 def run_rules(rules: list[Rule], rows: DataFrame, key: str, period: str) -> DataFrame:
     """The findings of all rules over one shared input."""
     return reduce(DataFrame.unionByName, [run_rule(r, rows, key, period) for r in rules])
+
+
+def what_if(rows: DataFrame, key: str, value, overrides: dict[str, object]) -> DataFrame:
+    """The rows of one key with some columns set to literals, in the types of those columns.
+
+    Overrides are values, never expressions, so nothing given by a user is parsed as SQL.
+    """
+    unknown = set(overrides) - set(rows.columns)
+    if unknown:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    one = rows.where(F.col(key) == F.lit(value))
+    return one.withColumns({c: F.lit(v).cast(rows.schema[c].dataType) for c, v in overrides.items()}) if overrides else one

@@ -350,3 +350,83 @@ def st01_windows(lake: Lake) -> DataFrame:
     from sarraf.streaming.events import windowed
 
     return windowed(lake.events, "ts", ["event_type"], "value", "1 hour").withColumn("total", F.round("total", 4))
+
+
+@query("""SELECT period, overtime_hours > 40 AS hit, CAST(overtime_pay AS double) AS impact FROM (SELECT period, CAST(50 AS double) AS overtime_hours, overtime_pay FROM fact_payroll_monthly WHERE employee_id = 'E00000011')""")
+def p11_what_if(lake: Lake) -> DataFrame:
+    """P-11, Q-01: one employee's rows with a value put in place, judged again."""
+    one = rules.what_if(lake.fact_payroll_monthly, "employee_id", "E00000011", {"overtime_hours": 50})
+    return one.select("period", (F.col("overtime_hours") > 40).alias("hit"), F.col("overtime_pay").cast("double").alias("impact"))
+
+
+@query("""SELECT period, CAST(row_number() OVER (ORDER BY period) AS int) AS period_index, working_days - public_holiday_days AS net_days FROM dim_calendar""")
+def w01_calendar_index(lake: Lake) -> DataFrame:
+    """W-01: the calendar numbered, one row a month."""
+    return lake.dim_calendar.select("period", F.row_number().over(Window.orderBy("period")).alias("period_index"), (F.col("working_days") - F.col("public_holiday_days")).alias("net_days"))
+
+
+@query("""SELECT upper(trim(employee_id)) AS employee_id, list(DISTINCT lower(trim(change_reason)) ORDER BY lower(trim(change_reason))) FILTER (WHERE lower(trim(change_reason)) IN ('promotion', 'regrade')) AS raised FROM fact_assignment_history GROUP BY 1""")
+def a15_filtered_sets(lake: Lake) -> DataFrame:
+    """A-15: sets of part of a group, null where that part is empty."""
+    r = K.norm_word("change_reason")
+    found = F.sort_array(F.collect_set(F.when(r.isin("promotion", "regrade"), r)))
+    return lake.fact_assignment_history.groupBy(K.norm_id("employee_id").alias("employee_id")).agg(found.alias("_r")).select("employee_id", F.when(F.size("_r") > 0, F.col("_r")).alias("raised"))
+
+
+@query("""WITH m AS (SELECT DISTINCT component_id, upper(trim(employee_id)) AS e FROM graph_components WHERE component_id IS NOT NULL AND employee_id IS NOT NULL), d AS (SELECT upper(trim(employee_id)) AS e, max(dob) AS dob, max(spouse_employee_id) AS s FROM employee_master GROUP BY 1),
+x AS (SELECT m.component_id, m.e, d.dob, upper(trim(d.s)) AS s FROM m LEFT JOIN d USING (e)), p AS (SELECT a.component_id, coalesce(a.s = b.e AND b.s = a.e, FALSE) AS couple, coalesce(a.dob = b.dob, FALSE) AS born FROM x a JOIN x b ON a.component_id = b.component_id AND a.e < b.e)
+SELECT component_id, CASE WHEN bool_and(couple) THEN 'couple' WHEN bool_and(born) THEN 'same_birth' ELSE 'unrelated' END AS kind, count(*) AS pairs FROM p GROUP BY component_id""")
+def r05_classes(lake: Lake) -> DataFrame:
+    """R-05: match groups classed by what all their pairs have in common; such groups are small by nature."""
+    m = lake.graph_components.select("component_id", K.norm_id("employee_id").alias("e")).where("component_id is not null and e is not null").distinct()
+    d = lake.employee_master.groupBy(K.norm_id("employee_id").alias("e")).agg(F.max("dob").alias("dob"), K.norm_id(F.max("spouse_employee_id")).alias("s"))
+    x = m.join(d, "e", "left")
+    pairs = x.join(x.withColumnsRenamed({"e": "e2", "dob": "dob2", "s": "s2"}), "component_id").where("e < e2")
+    couple = F.coalesce((F.col("s") == F.col("e2")) & (F.col("s2") == F.col("e")), F.lit(False))
+    kinds = pairs.groupBy("component_id").agg(F.bool_and(couple).alias("c"), F.bool_and(F.coalesce(F.col("dob") == F.col("dob2"), F.lit(False))).alias("b"), F.count("*").alias("pairs"))
+    return kinds.select("component_id", F.when(F.col("c"), "couple").when(F.col("b"), "same_birth").otherwise("unrelated").alias("kind"), "pairs")
+
+
+@query(_FINDINGS + """, d AS (SELECT user_id, event_type AS layer, max(ts) AS dismissed_at, round(sum(value) / 40, 2) AS impact_then FROM events WHERE user_id % 5 = 0 GROUP BY ALL), s AS (SELECT user_id, layer, sum(impact) AS impact FROM r GROUP BY ALL)
+SELECT s.user_id, s.layer, d.user_id IS NOT NULL AND s.impact < 1.25 * d.impact_then AS suppressed FROM s LEFT JOIN d ON d.user_id = s.user_id AND d.layer = s.layer""")
+def x09_suppression(lake: Lake) -> DataFrame:
+    """X-09, ST-07: what was dismissed stays away until its impact has grown by a quarter."""
+    dismissed = lake.events.where("user_id % 5 = 0").groupBy("user_id", F.col("event_type").alias("layer")).agg(F.round(F.sum("value") / 40, 2).alias("then"))
+    now = _findings(lake).groupBy("user_id", "layer").agg(F.sum("impact").alias("impact"))
+    back = F.col("then").isNotNull() & (F.col("impact") < 1.25 * F.col("then"))
+    return now.join(dismissed, ["user_id", "layer"], "left").select("user_id", "layer", F.coalesce(back, F.lit(False)).alias("suppressed"))
+
+
+@query(_FINDINGS + """, b AS (SELECT a.user_id, a.layer, o.layer AS other, o.score FROM o a JOIN o ON a.user_id = o.user_id AND a.layer <> o.layer) SELECT user_id, layer, count(*) AS others, arg_max(other, (score, other)) AS strongest FROM b GROUP BY ALL""")
+def x13_corroboration(lake: Lake) -> DataFrame:
+    """X-13: for a subject's finding the strongest of its other layers; a subject has one row a layer."""
+    own = _findings(lake).groupBy("user_id", "layer").agg(F.max("rank").alias("score"))
+    both = own.select("user_id", "layer").join(own.select("user_id", F.col("layer").alias("other"), "score"), "user_id").where("layer <> other")
+    return both.groupBy("user_id", "layer").agg(F.count("*").alias("others"), F.max(F.struct("score", "other"))["other"].alias("strongest"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice, o_orderstatus = 'F' AS bad, (o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.9) FROM orders))::INT AS p FROM orders) SELECT round(median(o_totalprice) FILTER (WHERE bad), 4) AS bad_median, round(median(o_totalprice) FILTER (WHERE NOT bad), 4) AS good_median, round(count(*) FILTER (WHERE bad AND p = 1) / count(*) FILTER (WHERE bad), 9) AS recall, round((count(*) FILTER (WHERE bad AND p = 1) / count(*) FILTER (WHERE p = 1)) / (count(*) FILTER (WHERE bad) / count(*)), 9) AS lift FROM x""")
+def m12_separation(lake: Lake) -> DataFrame:
+    """M-12: how well a score separates: medians, share of the bad in the top tenth, lift."""
+    o = lake.orders.select("o_orderkey", F.col("o_totalprice").alias("v"), (F.col("o_orderstatus") == "F").alias("bad"))
+    cut_at = o.agg(F.percentile("v", 0.9).alias("v90"))
+    top = o.crossJoin(F.broadcast(cut_at))  # one row
+    high = F.col("v") >= F.col("v90")
+    bad = F.col("bad")
+    out = top.agg(F.round(F.median(F.when(bad, F.col("v"))), 4).alias("bad_median"), F.round(F.median(F.when(~bad, F.col("v"))), 4).alias("good_median"), (F.count_if(bad & high) / F.count_if(bad)).alias("recall"), ((F.count_if(bad & high) / F.count_if(high)) / (F.count_if(bad) / F.count("*"))).alias("lift"))
+    return out.select("bad_median", "good_median", F.round("recall", 9).alias("recall"), F.round("lift", 9).alias("lift"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_totalprice, o_orderstatus, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders), b AS (SELECT *, CASE WHEN place <= 50 AND o_totalprice >= 200000 THEN 'CRITICAL' WHEN place <= 250 AND o_totalprice >= 100000 THEN 'HIGH' ELSE 'LOW' END AS band FROM r)
+SELECT band, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS right_ones, round(sum(o_totalprice), 2) AS total FROM b GROUP BY band""")
+def e04_band_summary(lake: Lake) -> DataFrame:
+    """E-04: what each band of a queue holds."""
+    bands = [("CRITICAL", 50, 200000.0), ("HIGH", 200, 100000.0)]
+    q = windows.capacity_bands(lake.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "o_totalprice", bands, "LOW")
+    return q.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("right_ones"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query()
+def o10_stable_sample(lake: Lake) -> DataFrame:
+    """O-10: a sample of a thousand rows that is the same however the rows are stored; the sample is the feature."""
+    return lake.lineitem.orderBy(F.xxhash64("l_orderkey", "l_linenumber", F.lit(7)), "l_orderkey", "l_linenumber").limit(1000).select("l_orderkey", "l_linenumber")

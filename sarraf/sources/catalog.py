@@ -50,3 +50,10 @@ class Lake:
             except Exception:
                 if names:
                     raise
+
+
+def isolated(spark: SparkSession, folder: str, tables: tuple[str, ...]) -> Lake:
+    """A lake of tables that only an evaluation may see: views of its own session, not of the caller's."""
+    lake = Lake(spark.newSession(), folder, tables)
+    lake.register()
+    return lake
