@@ -38,14 +38,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables `cut` has written in this process; frames that read them can't be used any more."""
+    count = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` through a table written to the shared checkpoint folder.
 
     The table survives lost executors, is columnar and compressed, and a later plan reads
     only the columns it needs of it; unlike a checkpointed plan it carries no constraints
-    over, which iterative plans would pile up. The folder is the session's, and goes with it.
+    over, which iterative plans would pile up. `release` deletes the tables once results
+    that read them are written.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

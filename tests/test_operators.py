@@ -185,3 +185,15 @@ def test_changes_are_kept_across_batches(spark, tmp_path):
         run.awaitTermination(120)
         got = {tuple(r) for r in spark.read.schema("k string, o long, old double, new double").parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 3, 5.0, 6.0), ("b", 3, 1.0, 2.0)}
+
+
+def test_cut_tables_are_released(spark):
+    from pathlib import Path
+
+    from sarraf.session import cut, ensure_checkpoint_dir, release
+
+    frame = cut(spark.range(5).withColumn("x", F.lit(None).cast("string")))
+    assert frame.count() == 5 and frame.columns == ["id", "x"]
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    assert list(folder.glob("cut-*"))
+    assert release(spark) > 0 and not list(folder.glob("cut-*")) and release(spark) == 0
