@@ -280,7 +280,9 @@ def link_names(people: DataFrame, aliases: dict[str, frozenset[str]], radius: in
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("rep_a").filter(mask), batch.column("rep_b").filter(mask)], names=["a", "b"])
 
-    return pairs.mapInArrow(compare, "a string, b string").unionByName(copies).distinct()
+    # Comparing costs far more than its bytes suggest, so it is spread over all cores.
+    spread = pairs.repartition(3 * people.sparkSession.sparkContext.defaultParallelism, "rep_a", "rep_b")
+    return spread.mapInArrow(compare, "a string, b string").unionByName(copies).distinct()
 
 
 def group_pairs(groups: DataFrame, node: str, group: str) -> DataFrame:
