@@ -392,3 +392,29 @@ SELECT k AS iban, CASE WHEN regexp_full_match(k, '[A-Z]{2}[0-9]{2}[A-Z0-9]{4,30}
 def f36_check_digits(lake: Lake) -> DataFrame:
     """F-36, UDF-03: IBAN check digits as one expression."""
     return lake.fact_bank_account.select(K.bare_code("iban").alias("iban")).where("iban is not null").distinct().select("iban", K.iban_ok("iban").alias("valid"))
+
+
+@query("""WITH b AS (SELECT grade, min(CAST(base_salary AS double)) AS lo, max(CAST(base_salary AS double)) AS hi FROM employee_features GROUP BY grade)
+SELECT employee_id, round(CASE WHEN hi > lo THEN (CAST(base_salary AS double) - lo) / (hi - lo) END, 8) AS position FROM employee_features JOIN b USING (grade)""")
+def f41_band_position(lake: Lake) -> DataFrame:
+    """F-41: the place of a value between the bounds of its group, null where the bounds are one."""
+    v = F.col("base_salary").cast("double")
+    b = lake.employee_features.groupBy("grade").agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
+    place = F.when(F.col("hi") > F.col("lo"), (v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
+    return lake.employee_features.join(b, "grade").select("employee_id", F.round(place, 8).alias("position"))
+
+
+@query("""SELECT period, CAST(substr(payroll_run_id, 2, 6) AS int) AS run_period, count(*) AS n FROM fact_payroll_monthly WHERE regexp_matches(payroll_run_id, '^[A-Z][0-9]{6}-') AND CAST(substr(payroll_run_id, 2, 6) AS int) > period GROUP BY ALL""")
+def st04_late_rows(lake: Lake) -> DataFrame:
+    """ST-04: rows posted by the run of a later month."""
+    p = lake.fact_payroll_monthly.where(F.col("payroll_run_id").rlike("^[A-Z][0-9]{6}-"))
+    run = F.substring("payroll_run_id", 2, 6).cast("int")
+    return p.withColumn("run_period", run).where("run_period > period").groupBy("period", "run_period").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT employee_id, period, map_extract(MAP {'loan': CAST(loan_deduction AS double), 'absence': CAST(absence_deduction AS double)}, 'loan')[1] AS loan FROM fact_payroll_monthly WHERE loan_deduction > 0 AND period = 202406""")
+def f32_maps(lake: Lake) -> DataFrame:
+    """F-32: a map built and read by key."""
+    p = lake.fact_payroll_monthly.where("loan_deduction > 0 and period = 202406")
+    parts = F.create_map(F.lit("loan"), F.col("loan_deduction").cast("double"), F.lit("absence"), F.col("absence_deduction").cast("double"))
+    return p.select("employee_id", "period", parts["loan"].alias("loan"))
