@@ -99,8 +99,10 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _net_totals(lake: Lake) -> DataFrame:
-    rows = lake.fact_payroll_monthly.where(P.is_period("period")).select(
-        norm_id("employee_id").alias("employee_id"), P.month_index("period").alias("month"), F.when(F.col("paid_flag"), (F.col("net") * 100).cast("long")).alias("cents"),
+    # exact repeats count once; over all columns, so that supplements add up and E00000000 stays spread
+    once = lake.fact_payroll_monthly.where(P.is_period("period")).withColumn("employee_id", norm_id("employee_id")).distinct()
+    rows = once.select(
+        "employee_id", P.month_index("period").alias("month"), F.when(F.col("paid_flag"), (F.col("net") * 100).cast("long")).alias("cents"),
     )
     return rolling.rolling_totals(rows, "employee_id", "month", "cents", [3, 6, 12])
 
