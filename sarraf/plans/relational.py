@@ -74,7 +74,7 @@ def j01_inner(lake: Lake) -> DataFrame:
 SELECT a.employee_id, a.period, CAST(a.net AS double) AS net, CAST(b.net AS double) AS year_before FROM p a LEFT JOIN p b ON a.employee_id = b.employee_id AND b.period = a.period - 100""")
 def j03_left_two_keys(lake: Lake) -> DataFrame:
     """J-03: a left join on employee and month; both sides share one aggregation and its partitioning."""
-    p = lake.fact_payroll_monthly.where("employee_id <> 'E00000000'").groupBy("employee_id", "period").agg(F.sum("net").cast("double").alias("net"))
+    p = lake.fact_payroll_monthly.groupBy("employee_id", "period").agg(F.sum("net").cast("double").alias("net"))
     before = p.select("employee_id", (F.col("period") + 100).alias("period"), F.col("net").alias("year_before"))
     return p.join(before, ["employee_id", "period"], "left")
 
@@ -201,7 +201,7 @@ def a03_pivot(lake: Lake) -> DataFrame:
 @query("""SELECT employee_id, count(*) AS n, round(stddev_samp(CAST(net AS double)), 4) AS spread, round(regr_slope(CAST(net AS double), period // 100 * 12 + period % 100), 4) AS slope FROM fact_payroll_monthly WHERE net IS NOT NULL AND employee_id <> 'E00000000' GROUP BY employee_id HAVING count(*) > 2""")
 def a05_spread_and_slope(lake: Lake) -> DataFrame:
     """A-05, A-06, A-17: sample deviation and slope per employee."""
-    p = lake.fact_payroll_monthly.where("net is not null and employee_id <> 'E00000000'").select("employee_id", F.col("net").cast("double").alias("net"), P.month_index("period").alias("m"))
+    p = lake.fact_payroll_monthly.where("net is not null").select("employee_id", F.col("net").cast("double").alias("net"), P.month_index("period").alias("m"))
     return p.groupBy("employee_id").agg(F.count("*").alias("n"), F.round(F.stddev_samp("net"), 4).alias("spread"), F.round(F.regr_slope("net", "m"), 4).alias("slope")).where("n > 2")
 
 
@@ -248,7 +248,7 @@ def a21_cube(lake: Lake) -> DataFrame:
 @query("""SELECT employee_id, period, net, round(CAST(net - lag(net) OVER w AS double), 2) AS change, lead(period) OVER w AS next_period FROM (SELECT employee_id, period, sum(net) AS net FROM fact_payroll_monthly WHERE employee_id <> 'E00000000' GROUP BY ALL) WINDOW w AS (PARTITION BY employee_id ORDER BY period)""")
 def w03_lag_lead(lake: Lake) -> DataFrame:
     """W-03, W-04, W-13: month over month by one named window."""
-    p = lake.fact_payroll_monthly.where("employee_id <> 'E00000000'").groupBy("employee_id", "period").agg(F.sum("net").alias("net"))
+    p = lake.fact_payroll_monthly.groupBy("employee_id", "period").agg(F.sum("net").alias("net"))
     w = Window.partitionBy("employee_id").orderBy("period")
     return p.select("employee_id", "period", F.col("net").cast("decimal(38,2)").alias("net"), F.round((F.col("net") - F.lag("net").over(w)).cast("double"), 2).alias("change"), F.lead("period").over(w).alias("next_period"))
 
@@ -273,7 +273,7 @@ def w06_range_frames(lake: Lake) -> DataFrame:
 SELECT p.e AS employee_id, p.p AS period, round(sum(v - m) OVER (PARTITION BY p.e ORDER BY p.p ROWS UNBOUNDED PRECEDING), 3) AS cusum FROM p JOIN m USING (e)""")
 def w08_cusum(lake: Lake) -> DataFrame:
     """W-08, A-08: running sums of deviations from the median."""
-    p = lake.fact_payroll_monthly.where("employee_id <> 'E00000000'").groupBy("employee_id", "period").agg(F.sum(F.col("overtime_pay").cast("double")).alias("v"))
+    p = lake.fact_payroll_monthly.groupBy("employee_id", "period").agg(F.sum(F.col("overtime_pay").cast("double")).alias("v"))
     m = p.groupBy("employee_id").agg(F.median("v").alias("m"))
     return p.join(m, "employee_id").select("employee_id", "period", F.round(windows.running_sum(F.col("v") - F.col("m"), ["employee_id"], "period"), 3).alias("cusum"))
 
@@ -289,17 +289,17 @@ def w09_ranks(lake: Lake) -> DataFrame:
 SELECT e AS employee_id, CAST(min(i) AS int) AS first_step, CAST(max(i) AS int) AS last_step, count(*) AS steps, round(sum(v), 2) AS v FROM g GROUP BY e, k""")
 def w11_islands(lake: Lake) -> DataFrame:
     """W-11, J-15, ST-05: runs of consecutive months with long overtime."""
-    p = lake.fact_payroll_monthly.where("overtime_hours > 20 and not isnan(overtime_hours) and employee_id <> 'E00000000'")
+    p = lake.fact_payroll_monthly.where("overtime_hours > 20 and not isnan(overtime_hours)")
     m = p.groupBy("employee_id", P.month_index("period").alias("i")).agg(F.sum(F.col("overtime_pay").cast("double")).alias("v"))
     return windows.collapse_runs(m, ["employee_id"], "i", ["v"]).withColumn("v", F.round("v", 2))
 
 
 @query("""WITH p AS (SELECT employee_id AS e, period, max(CASE WHEN paid_flag THEN period END) OVER (PARTITION BY employee_id) AS last_paid FROM fact_payroll_monthly) SELECT e AS employee_id, count(*) AS after_last_paid FROM p WHERE period > last_paid AND e <> 'E00000000' GROUP BY e""")
 def w12_conditional_window(lake: Lake) -> DataFrame:
-    """W-12: a conditional maximum over the group, then a filter on it; as an aggregate joined back, so a hot group is pre-aggregated."""
-    p = lake.fact_payroll_monthly.where("employee_id <> 'E00000000'")
-    last = p.groupBy("employee_id").agg(F.max(F.when(F.col("paid_flag"), F.col("period"))).alias("last_paid"))
-    return p.join(last, "employee_id").where("period > last_paid").groupBy("employee_id").agg(F.count("*").alias("after_last_paid"))
+    """W-12: a conditional maximum over the group, then a filter on it; over months of employees, so a hot group is pre-aggregated."""
+    months = lake.fact_payroll_monthly.groupBy("employee_id", "period").agg(F.count("*").alias("n"), F.max(F.when(F.col("paid_flag"), F.col("period"))).alias("paid"))
+    known = months.withColumn("last_paid", F.max("paid").over(Window.partitionBy("employee_id")))
+    return known.where("period > last_paid").groupBy("employee_id").agg(F.sum("n").alias("after_last_paid"))
 
 
 # Sorts, limits, top k

@@ -1,5 +1,6 @@
 """The whole job of queries whose SQL leaves part of it out: the SQL, unchanged, over tables that have the rest put right."""
 
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -24,3 +25,25 @@ def test_a_repeated_row_counts_once_and_a_supplement_adds_up(spark, tmp_path):
     spark.createDataFrame(rows, payroll.schema).write.parquet(str(tmp_path / "fact_payroll_monthly.parquet"))
     got = registry.QUERIES["p6_net_totals"](spark, str(tmp_path)).select("employee_id", "period", "net_3").collect()
     assert [tuple(r) for r in got] == [("E1", 202401, Decimal("200.02"))]
+
+
+@pytest.mark.parametrize("name", ["j03_left_two_keys", "a05_spread_and_slope", "w03_lag_lead", "w08_cusum", "w11_islands", "w12_conditional_window"])
+def test_the_pooled_account_is_not_left_out(spark, name):
+    con = connect(SMALL)
+    other = "CASE employee_id WHEN 'E00000000' THEN 'POOLED' ELSE employee_id END"  # a name that no SQL leaves out
+    con.execute(f"CREATE OR REPLACE VIEW fact_payroll_monthly AS SELECT * REPLACE ({other} AS employee_id) FROM read_parquet('{SMALL}/fact_payroll_monthly.parquet')")
+    names, theirs = rows_of_sql(con, registry.SQL[name])
+    got_names, ours = rows_of_frame(registry.QUERIES[name](spark, str(SMALL)))
+    named = Counter({tuple("E00000000" if v == "POOLED" else v for v in row): n for row, n in theirs.items()})
+    assert (got_names, ours) == (names, named)
+
+
+def test_the_pooled_account_has_runs_and_unpaid_months(spark, tmp_path):
+    payroll = spark.read.parquet(str(SMALL / "fact_payroll_monthly.parquet"))
+    row = payroll.first().asDict() | {"employee_id": "E00000000", "paid_flag": False, "overtime_hours": 30.0, "overtime_pay": Decimal("10.50")}
+    rows = [row | {"period": 202312, "paid_flag": True}, row | {"period": 202401}, row | {"period": 202401}, row | {"period": 202403}]
+    spark.createDataFrame(rows, payroll.schema).write.parquet(str(tmp_path / "fact_payroll_monthly.parquet"))
+    got = {name: sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) for name in ("w11_islands", "w12_conditional_window")}
+    first = 2023 * 12 + 11
+    assert got["w11_islands"] == [("E00000000", first, first + 1, 2, 31.5), ("E00000000", first + 3, first + 3, 1, 10.5)]
+    assert got["w12_conditional_window"] == [("E00000000", 3)]
