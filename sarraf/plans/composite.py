@@ -9,6 +9,7 @@ from sarraf.functions import keys as K
 from sarraf.functions import periods as P
 from sarraf.functions import text as X
 from sarraf.operators import cohorts, graphs, integrity, ml, rules, windows
+from sarraf.plans import problems
 from sarraf.plans.base import Registry
 from sarraf.sources.catalog import Lake
 
@@ -66,7 +67,7 @@ def p05_rules(lake: Lake) -> DataFrame:
 @query("""SELECT employee_id, period, format('{:,.0f}', CAST(net AS double)) AS net_text, coalesce(CAST(cost_center AS varchar), 'not recorded') || ' in ' || CAST(period AS varchar) AS description FROM fact_payroll_monthly WHERE net IS NOT NULL AND net = round(net) AND period = 202401""")
 def f10_messages(lake: Lake) -> DataFrame:
     """F-05, F-10: number formats and templates as columns."""
-    p = lake.fact_payroll_monthly.where("net is not null and net = round(net) and period = 202401")
+    p = lake.fact_payroll_monthly.where("net is not null")
     return p.select("employee_id", "period", F.format_number(F.col("net").cast("double"), 0).alias("net_text"), rules.message("{cost_center} in {period}").alias("description"))
 
 
@@ -76,7 +77,7 @@ WITH RECURSIVE w(node, pos, depth) AS (SELECT org_unit_id, parent_org_unit_id, 0
 
 @query(_ORG + " SELECT node, CAST(max(depth) AS int) AS depth, FALSE AS looped FROM w GROUP BY node")
 def r01_chain(lake: Lake) -> DataFrame:
-    """R-01, R-08, J-17: the chain of each unit up to its root, at most twelve links."""
+    """R-08: the chain of each unit up to its root, at most twelve links."""
     return graphs.chain(lake.dim_org_unit, "org_unit_id", "parent_org_unit_id", 12)
 
 
@@ -87,6 +88,27 @@ def r02_reach(lake: Lake) -> DataFrame:
     return graphs.reach(lake.dim_org_unit, "org_unit_id", "parent_org_unit_id", 3)
 
 
+_MANAGERS = f"""
+WITH RECURSIVE h AS ({problems._VALID.format(table='fact_assignment_history', more=", " + problems._ID.format('manager_id') + " AS m")}
+), cur AS (
+  SELECT e, m FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY f DESC, t DESC, m DESC NULLS LAST) AS n FROM h WHERE f <= DATE '2025-12-31') WHERE n = 1
+)"""
+
+
+@query(_MANAGERS + """, w(node, pos, depth) AS (SELECT e, m, CASE WHEN m IS NULL THEN 0 ELSE 1 END FROM cur UNION ALL SELECT node, cur.m, depth + 1 FROM w JOIN cur ON cur.e = pos WHERE cur.m IS NOT NULL AND pos <> node AND depth < 30)
+SELECT node, CAST(max(depth) AS int) AS depth, coalesce(bool_or(pos = node), FALSE) AS looped FROM w GROUP BY node""")
+def r01_manager_chain(lake: Lake) -> DataFrame:
+    """R-01, J-17: the chain of current managers of each employee up to its root or itself, at most thirty links."""
+    return graphs.chain(problems._links(lake), "employee_id", "manager_id", 30)
+
+
+@query(_MANAGERS + """, w(a, b, n) AS (SELECT e, m, 1 FROM cur WHERE m IS NOT NULL UNION ALL SELECT a, cur.m, n + 1 FROM w JOIN cur ON cur.e = b WHERE cur.m IS NOT NULL AND n < 6)
+SELECT a AS start, b AS "end", CAST(min(n) AS int) AS steps FROM w GROUP BY ALL""")
+def r02_manager_reach(lake: Lake) -> DataFrame:
+    """R-02: the managers above each employee within six links."""
+    return graphs.reach(problems._links(lake), "employee_id", "manager_id", 6)
+
+
 _MANAGED = "(SELECT DISTINCT upper(trim(employee_id)) AS a, upper(trim(manager_id)) AS b FROM fact_assignment_history WHERE employee_id IS NOT NULL AND manager_id IS NOT NULL AND upper(trim(employee_id)) <> upper(trim(manager_id)))"
 
 
@@ -298,8 +320,7 @@ def k06_scoped(lake: Lake) -> DataFrame:
 SELECT e.employee_id, list(CAST(p.net AS double) ORDER BY c.period) AS series FROM e CROSS JOIN dim_calendar c LEFT JOIN p ON p.employee_id = e.employee_id AND p.period = c.period GROUP BY ALL""")
 def x14_timeline(lake: Lake) -> DataFrame:
     """X-14, K-02: one value a calendar month and employee, months without one null."""
-    chosen = lake.employee_features.where("grade >= 18").select("employee_id")
-    p = lake.fact_payroll_monthly.join(chosen, "employee_id", "left_semi").groupBy("employee_id", "period").agg(F.sum("net").cast("double").alias("net"))
+    p = lake.fact_payroll_monthly.groupBy("employee_id", "period").agg(F.sum("net").cast("double").alias("net"))
     grid = p.select("employee_id").distinct().crossJoin(F.broadcast(lake.dim_calendar.select("period")))  # one row a calendar month
     rows = grid.join(p, ["employee_id", "period"], "left").groupBy("employee_id").agg(F.sort_array(F.collect_list(F.struct("period", "net"))).alias("_s"))
     return rows.select("employee_id", F.col("_s.net").alias("series"))

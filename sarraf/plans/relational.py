@@ -415,6 +415,6 @@ def st04_late_rows(lake: Lake) -> DataFrame:
 @query("""SELECT employee_id, period, map_extract(MAP {'loan': CAST(loan_deduction AS double), 'absence': CAST(absence_deduction AS double)}, 'loan')[1] AS loan FROM fact_payroll_monthly WHERE loan_deduction > 0 AND period = 202406""")
 def f32_maps(lake: Lake) -> DataFrame:
     """F-32: a map built and read by key."""
-    p = lake.fact_payroll_monthly.where("loan_deduction > 0 and period = 202406")
+    p = lake.fact_payroll_monthly.where("loan_deduction > 0")
     parts = F.create_map(F.lit("loan"), F.col("loan_deduction").cast("double"), F.lit("absence"), F.col("absence_deduction").cast("double"))
     return p.select("employee_id", "period", parts["loan"].alias("loan"))
