@@ -101,7 +101,7 @@ def isolation_forest(rows: DataFrame, key: str, columns: list[str], trees: int =
 
 
 def reconstruction_gap(rows: DataFrame, key: str, columns: list[str], rank: int) -> DataFrame:
-    """`key`, `gap`, `gaps`: what principal components of the rows cannot reconstruct, and its parts by column.
+    """`key`, `gap`, `gaps`, `signed`: what principal components of the rows cannot reconstruct, its parts by column, and these before squaring.
 
     Stands in for a denoising autoencoder. Moments are summed over all rows; only the
     columns-by-columns covariance reaches the driver.
@@ -117,15 +117,29 @@ def reconstruction_gap(rows: DataFrame, key: str, columns: list[str], rank: int)
     centred = [a - F.lit(float(m)) for a, m in zip(x, mean)]
     gaps = [sum((c * F.lit(float(w)) for c, w in zip(centred[1:], line[1:])), centred[0] * F.lit(float(line[0]))) for line in project]
     parts = F.array(*[g * g for g in gaps])
-    return rows.select(key, F.sqrt(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)).alias("gap"), parts.alias("gaps"))
+    return rows.select(key, F.sqrt(F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)).alias("gap"), parts.alias("gaps"), F.array(*gaps).alias("signed"))
 
 
-def attributions(parts: str, names: list[str], least: float = 0.03, most: int = 5) -> Column:
-    """The largest shares of an array of non-negative parts: structs of name and share, shares under `least` left out."""
+def attributions(parts: str, names: list[str], least: float = 0.03, most: int = 5, signed: str | None = None, categories: tuple[str, ...] = ()) -> Column:
+    """The largest shares of an array of non-negative parts: structs of name and share, shares under `least` left out.
+
+    With `signed`, the array of the parts' signs, also a direction: `increases` above what was
+    expected, `reduces` otherwise, `unexpected` for categories.
+    """
     total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
-    named = F.transform(parts, lambda p, i: F.struct((-p / F.nullif(total, F.lit(0.0))).alias("order"), F.get(F.array(*[F.lit(n) for n in names]), i).alias("name")))
+    at = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i)
+    way = lambda i: F.when(at([n in categories for n in names], i), "unexpected").when(F.get(signed, i) > 0, "increases").otherwise("reduces")
+    more = lambda i: [way(i).alias("direction")] if signed else []
+    named = F.transform(parts, lambda p, i: F.struct((-p / F.nullif(total, F.lit(0.0))).alias("order"), at(names, i).alias("name"), *more(i)))
     kept = F.filter(F.array_sort(named), lambda s: -s["order"] >= least)
-    return F.transform(F.slice(kept, 1, most), lambda s: F.struct(s["name"].alias("name"), F.round(-s["order"], 4).alias("share")))
+    return F.transform(F.slice(kept, 1, most), lambda s: F.struct(s["name"].alias("name"), F.round(-s["order"], 4).alias("share"), *([s["direction"].alias("direction")] if signed else [])))
+
+
+def ml_scores(isolation: DataFrame, reconstruction: DataFrame, key: str) -> DataFrame:
+    """`key`, `ml_score`: the mean of the percentile ranks of `isolation` and `gap`; keys are unique in both."""
+    a = percentile_ranks(isolation.select(key, "isolation"), key, "isolation", "_i")
+    b = percentile_ranks(reconstruction.select(key, "gap"), key, "gap", "_g")
+    return a.join(b, key).select(key, ((F.col("_i") + F.col("_g")) / 2).alias("ml_score"))
 
 
 def percentile_ranks(rows: DataFrame, key: str, score: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from sarraf.functions import text as X
 from sarraf.operators import cohorts, graphs, integrity, ml, rules, windows
 from sarraf.plans import problems
 from sarraf.plans.base import Registry
+from sarraf.session import cut
 from sarraf.sources.catalog import Lake
 
 query = Registry()
@@ -228,9 +229,19 @@ def m08_isolation(lake: Lake) -> DataFrame:
 
 @query()
 def m09_reconstruction(lake: Lake) -> DataFrame:
-    """M-09 to M-11, O-07: reconstruction gaps with their attributions, checked by tests."""
+    """M-09, M-11, O-07: reconstruction gaps with their attributions and directions, checked by tests."""
     names = ["grade", "base_salary", "allowance", "allowance_ratio"]
-    return ml.reconstruction_gap(_matrix(lake), "employee_id", names, 2).select("employee_id", "gap", F.to_json(ml.attributions("gaps", names)).alias("attributions"))
+    return ml.reconstruction_gap(_matrix(lake), "employee_id", names, 2).select("employee_id", "gap", F.to_json(ml.attributions("gaps", names, signed="signed")).alias("attributions"))
+
+
+@query()
+def m10_ml_score(lake: Lake) -> DataFrame:
+    """M-10: the mean of the percentile ranks of both scores, one row an employee, checked by tests."""
+    names = ["grade", "base_salary", "allowance", "allowance_ratio"]
+    m = cut(_matrix(lake).withColumn("employee_id", K.norm_id("employee_id")).where("employee_id is not null").distinct())
+    forest = ml.isolation_forest(m, "employee_id", names).groupBy("employee_id").agg(F.max("isolation").alias("isolation"))
+    gap = ml.reconstruction_gap(m, "employee_id", names, 2).groupBy("employee_id").agg(F.max("gap").alias("gap"))
+    return ml.ml_scores(forest, gap, "employee_id")
 
 
 @query()

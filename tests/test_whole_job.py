@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from compare import DATA, connect, rows_of_frame, rows_of_sql
 
+from sarraf.operators import ml
 from sarraf.plans import registry
 
 SMALL = DATA / "sf0.001"
@@ -70,3 +71,18 @@ def test_manager_chains_stop_at_thirty_links(spark, tmp_path):
     spark.createDataFrame([row | {"employee_id": e, "manager_id": m} for e, m in above.items()], held.schema).write.parquet(str(tmp_path / "fact_assignment_history.parquet"))
     got = {r["node"]: (r["depth"], r["looped"]) for r in registry.QUERIES["r01_manager_chain"](spark, str(tmp_path)).collect()}
     assert got == {f"C{i:02d}": (min(30, 35 - i), False) for i in range(35)} | {"L1": (2, True), "L2": (2, True), "IN": (30, False), "TOP": (0, False)}
+
+
+def test_ml_score_is_the_mean_of_two_ranks(spark):
+    a = spark.createDataFrame([("x", 0.1), ("y", 0.2), ("z", 0.3)], "k string, isolation double")
+    b = spark.createDataFrame([("x", 9.0), ("y", 1.0), ("z", 5.0)], "k string, gap double")
+    assert {tuple(r) for r in ml.ml_scores(a, b, "k").collect()} == {("x", 50.0), ("y", 25.0), ("z", 75.0)}
+    got = registry.QUERIES["m10_ml_score"](spark, str(SMALL)).collect()
+    assert len(got) == len({r["employee_id"] for r in got}) > 0 and all(0 <= r["ml_score"] <= 100 for r in got)
+
+
+def test_attributions_have_a_direction(spark):
+    frame = spark.createDataFrame([([4.0, 4.5, 1.5], [-2.0, 2.1, 1.2])], "g array<double>, s array<double>")
+    told = frame.select(ml.attributions("g", ["a", "b", "c"], signed="s", categories=("c",)).alias("t")).first()["t"]
+    assert [tuple(r) for r in told] == [("b", 0.45, "increases"), ("a", 0.4, "reduces"), ("c", 0.15, "unexpected")]
+    assert '"direction":"' in registry.QUERIES["m09_reconstruction"](spark, str(SMALL)).where("gap > 0.001").first()["attributions"]
