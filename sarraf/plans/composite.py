@@ -65,7 +65,7 @@ def p05_rules(lake: Lake) -> DataFrame:
     return found.select("employee_id", "code", "period_from", "period_to", "months", F.round("monthly", 2).alias("monthly"), F.round("cumulative", 2).alias("cumulative"))
 
 
-@query("""SELECT employee_id, period, format('{:,.0f}', CAST(net AS double)) AS net_text, coalesce(CAST(cost_center AS varchar), 'not recorded') || ' in ' || CAST(period AS varchar) AS description FROM fact_payroll_monthly WHERE net IS NOT NULL AND net = round(net) AND period = 202401""")
+@query("""SELECT employee_id, period, format('{:,.0f}', CAST(net AS double)) AS net_text, coalesce(CAST(cost_center AS varchar), 'not recorded') || ' in ' || CAST(period AS varchar) AS description FROM fact_payroll_monthly WHERE net IS NOT NULL""")
 def f10_messages(lake: Lake) -> DataFrame:
     """F-05, F-10: number formats and templates as columns."""
     p = lake.fact_payroll_monthly.where("net is not null")
@@ -327,7 +327,7 @@ def k06_scoped(lake: Lake) -> DataFrame:
     return lake.employee_master.join(allowed, "org_unit_id", "left_semi").select("employee_id", "org_unit_id")
 
 
-@query("""WITH p AS (SELECT employee_id, period, sum(net) AS net FROM fact_payroll_monthly WHERE employee_id IN (SELECT employee_id FROM employee_features WHERE grade >= 18) GROUP BY ALL), e AS (SELECT DISTINCT employee_id FROM p)
+@query("""WITH p AS (SELECT employee_id, period, sum(net) AS net FROM fact_payroll_monthly GROUP BY ALL), e AS (SELECT DISTINCT employee_id FROM p)
 SELECT e.employee_id, list(CAST(p.net AS double) ORDER BY c.period) AS series FROM e CROSS JOIN dim_calendar c LEFT JOIN p ON p.employee_id = e.employee_id AND p.period = c.period GROUP BY ALL""")
 def x14_timeline(lake: Lake) -> DataFrame:
     """X-14, K-02: one value a calendar month and employee, months without one null."""

@@ -182,8 +182,8 @@ WITH RECURSIVE h AS ({_VALID.format(table='fact_assignment_history', more=", " +
 )"""
 _NET = f"""
 WITH m AS (
-  SELECT {_ID.format('employee_id')} AS e, period // 100 * 12 + period % 100 - 1 AS i, sum(CASE WHEN paid_flag THEN coalesce(net, 0) ELSE 0 END) AS v
-  FROM fact_payroll_monthly WHERE {_ID.format('employee_id')} IS NOT NULL GROUP BY ALL
+  SELECT employee_id AS e, period // 100 * 12 + period % 100 - 1 AS i, sum(CASE WHEN paid_flag THEN coalesce(net, 0) ELSE 0 END) AS v
+  FROM (SELECT DISTINCT * REPLACE ({_ID.format('employee_id')} AS employee_id) FROM fact_payroll_monthly) WHERE employee_id IS NOT NULL GROUP BY ALL
 ), span AS (SELECT e, min(i) AS lo, max(i) AS hi FROM m GROUP BY e
 ), grid AS (SELECT e, lo, unnest(generate_series(lo, hi)) AS i FROM span
 ), s AS (

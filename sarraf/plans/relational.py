@@ -70,7 +70,7 @@ def j01_inner(lake: Lake) -> DataFrame:
     return o.join(lake.customer, F.col("o_custkey") == F.col("c_custkey")).join(lake.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name", "o_totalprice")
 
 
-@query("""WITH p AS (SELECT employee_id, period, sum(net) AS net FROM fact_payroll_monthly WHERE employee_id <> 'E00000000' GROUP BY ALL)
+@query("""WITH p AS (SELECT employee_id, period, sum(net) AS net FROM fact_payroll_monthly GROUP BY ALL)
 SELECT a.employee_id, a.period, CAST(a.net AS double) AS net, CAST(b.net AS double) AS year_before FROM p a LEFT JOIN p b ON a.employee_id = b.employee_id AND b.period = a.period - 100""")
 def j03_left_two_keys(lake: Lake) -> DataFrame:
     """J-03: a left join on employee and month; both sides share one aggregation and its partitioning."""
@@ -198,7 +198,7 @@ def a03_pivot(lake: Lake) -> DataFrame:
     return e.groupBy("event_type").pivot("part", [0, 1, 2]).agg(F.round(F.sum("value"), 2)).withColumnsRenamed({"0": "s0", "1": "s1", "2": "s2"})
 
 
-@query("""SELECT employee_id, count(*) AS n, round(stddev_samp(CAST(net AS double)), 4) AS spread, round(regr_slope(CAST(net AS double), period // 100 * 12 + period % 100), 4) AS slope FROM fact_payroll_monthly WHERE net IS NOT NULL AND employee_id <> 'E00000000' GROUP BY employee_id HAVING count(*) > 2""")
+@query("""SELECT employee_id, count(*) AS n, round(stddev_samp(CAST(net AS double)), 4) AS spread, round(regr_slope(CAST(net AS double), period // 100 * 12 + period % 100), 4) AS slope FROM fact_payroll_monthly WHERE net IS NOT NULL GROUP BY employee_id HAVING count(*) > 2""")
 def a05_spread_and_slope(lake: Lake) -> DataFrame:
     """A-05, A-06, A-17: sample deviation and slope per employee."""
     p = lake.fact_payroll_monthly.where("net is not null").select("employee_id", F.col("net").cast("double").alias("net"), P.month_index("period").alias("m"))
@@ -245,7 +245,7 @@ def a21_cube(lake: Lake) -> DataFrame:
 # Windows
 
 
-@query("""SELECT employee_id, period, net, round(CAST(net - lag(net) OVER w AS double), 2) AS change, lead(period) OVER w AS next_period FROM (SELECT employee_id, period, sum(net) AS net FROM fact_payroll_monthly WHERE employee_id <> 'E00000000' GROUP BY ALL) WINDOW w AS (PARTITION BY employee_id ORDER BY period)""")
+@query("""SELECT employee_id, period, net, round(CAST(net - lag(net) OVER w AS double), 2) AS change, lead(period) OVER w AS next_period FROM (SELECT employee_id, period, sum(net) AS net FROM fact_payroll_monthly GROUP BY ALL) WINDOW w AS (PARTITION BY employee_id ORDER BY period)""")
 def w03_lag_lead(lake: Lake) -> DataFrame:
     """W-03, W-04, W-13: month over month by one named window."""
     p = lake.fact_payroll_monthly.groupBy("employee_id", "period").agg(F.sum("net").alias("net"))
@@ -269,7 +269,7 @@ def w06_range_frames(lake: Lake) -> DataFrame:
     return j.select("employee_id", "month", F.sum("n").over(w.rangeBetween(-11, 0)).alias("moves"), F.min("g").over(w.rangeBetween(-23, 0)).alias("lowest"))
 
 
-@query("""WITH p AS (SELECT employee_id AS e, period AS p, sum(CAST(overtime_pay AS double)) AS v FROM fact_payroll_monthly WHERE employee_id <> 'E00000000' GROUP BY ALL), m AS (SELECT e, median(v) AS m FROM p GROUP BY e)
+@query("""WITH p AS (SELECT employee_id AS e, period AS p, sum(CAST(overtime_pay AS double)) AS v FROM fact_payroll_monthly GROUP BY ALL), m AS (SELECT e, median(v) AS m FROM p GROUP BY e)
 SELECT p.e AS employee_id, p.p AS period, round(sum(v - m) OVER (PARTITION BY p.e ORDER BY p.p ROWS UNBOUNDED PRECEDING), 3) AS cusum FROM p JOIN m USING (e)""")
 def w08_cusum(lake: Lake) -> DataFrame:
     """W-08, A-08: running sums of deviations from the median."""
@@ -285,7 +285,7 @@ def w09_ranks(lake: Lake) -> DataFrame:
     return lake.supplier.select("s_suppkey", "s_nationkey", F.round(F.percent_rank().over(w) * 100, 6).alias("pct"), F.round(windows.cumulative_rank("s_acctbal", "s_nationkey"), 6).alias("cume"), F.dense_rank().over(w).cast("long").alias("place"), F.count("*").over(Window.partitionBy("s_nationkey")).alias("peers"))
 
 
-@query("""WITH m AS (SELECT employee_id AS e, period // 100 * 12 + period % 100 - 1 AS i, sum(CAST(overtime_pay AS double)) AS v FROM fact_payroll_monthly WHERE overtime_hours > 20 AND NOT isnan(overtime_hours) AND employee_id <> 'E00000000' GROUP BY ALL), g AS (SELECT *, i - row_number() OVER (PARTITION BY e ORDER BY i) AS k FROM m)
+@query("""WITH m AS (SELECT employee_id AS e, period // 100 * 12 + period % 100 - 1 AS i, sum(CAST(overtime_pay AS double)) AS v FROM fact_payroll_monthly WHERE overtime_hours > 20 AND NOT isnan(overtime_hours) GROUP BY ALL), g AS (SELECT *, i - row_number() OVER (PARTITION BY e ORDER BY i) AS k FROM m)
 SELECT e AS employee_id, CAST(min(i) AS int) AS first_step, CAST(max(i) AS int) AS last_step, count(*) AS steps, round(sum(v), 2) AS v FROM g GROUP BY e, k""")
 def w11_islands(lake: Lake) -> DataFrame:
     """W-11, J-15, ST-05: runs of consecutive months with long overtime."""
@@ -294,7 +294,7 @@ def w11_islands(lake: Lake) -> DataFrame:
     return windows.collapse_runs(m, ["employee_id"], "i", ["v"]).withColumn("v", F.round("v", 2))
 
 
-@query("""WITH p AS (SELECT employee_id AS e, period, max(CASE WHEN paid_flag THEN period END) OVER (PARTITION BY employee_id) AS last_paid FROM fact_payroll_monthly) SELECT e AS employee_id, count(*) AS after_last_paid FROM p WHERE period > last_paid AND e <> 'E00000000' GROUP BY e""")
+@query("""WITH p AS (SELECT employee_id AS e, period, max(CASE WHEN paid_flag THEN period END) OVER (PARTITION BY employee_id) AS last_paid FROM fact_payroll_monthly) SELECT e AS employee_id, count(*) AS after_last_paid FROM p WHERE period > last_paid GROUP BY e""")
 def w12_conditional_window(lake: Lake) -> DataFrame:
     """W-12: a conditional maximum over the group, then a filter on it; over months of employees, so a hot group is pre-aggregated."""
     months = lake.fact_payroll_monthly.groupBy("employee_id", "period").agg(F.count("*").alias("n"), F.max(F.when(F.col("paid_flag"), F.col("period"))).alias("paid"))
@@ -412,7 +412,7 @@ def st04_late_rows(lake: Lake) -> DataFrame:
     return p.withColumn("run_period", run).where("run_period > period").groupBy("period", "run_period").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT employee_id, period, map_extract(MAP {'loan': CAST(loan_deduction AS double), 'absence': CAST(absence_deduction AS double)}, 'loan')[1] AS loan FROM fact_payroll_monthly WHERE loan_deduction > 0 AND period = 202406""")
+@query("""SELECT employee_id, period, map_extract(MAP {'loan': CAST(loan_deduction AS double), 'absence': CAST(absence_deduction AS double)}, 'loan')[1] AS loan FROM fact_payroll_monthly WHERE loan_deduction > 0""")
 def f32_maps(lake: Lake) -> DataFrame:
     """F-32: a map built and read by key."""
     p = lake.fact_payroll_monthly.where("loan_deduction > 0")
