@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarraf.session import cut
+from sarraf.session import cut, drop
 
 
 def chain(links: DataFrame, node: str, parent: str, most: int = 30) -> DataFrame:
-    """`node`, `depth`, `looped`: links walked upwards until a root, the own node again, or `most` steps."""
-    index = cut(links.select(F.col(node).alias("_at"), F.col(parent).alias("_up")).where("_at is not null").dropDuplicates(["_at"]))
+    """`node`, `depth`, `looped`: links walked upwards until a root, the own node again, or `most` steps; of several rows of a node the one with the smallest parent counts."""
+    index = cut(links.select(F.col(node).alias("_at"), F.col(parent).alias("_up")).where("_at is not null").groupBy("_at").agg(F.min("_up").alias("_up")))
     walk = index.select(F.col("_at").alias("node"), F.col("_up").alias("_at"), F.lit(0).alias("depth")).where("_at is not null")
     ended = [index.where("_up is null").select(F.col("_at").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("looped"))]
     for step in range(1, most + 1):
@@ -36,10 +36,24 @@ def reach(links: DataFrame, start: str, end: str, most: int) -> DataFrame:
         new = cut(more.join(known, ["a", "b"], "left_anti").withColumn("steps", F.lit(step)))
         if new.isEmpty():
             break
-        known = cut(known.unionByName(new))
+        last, known = known, cut(known.unionByName(new))
+        drop(last)
     return known.select(F.col("a").alias("start"), F.col("b").alias("end"), "steps")
 
 
+def subtree(links: DataFrame, node: str, parent: str, top, most: int = 30) -> DataFrame:
+    """`node`: `top` and all nodes below it, level by level, at most `most` levels; only what is reached is joined."""
+    edges = links.select(F.col(node).alias("node"), F.col(parent).alias("_up")).where("node is not null and _up is not null")
+    found = new = cut(links.sparkSession.range(1).select(F.lit(top).alias("node")))
+    for _ in range(most):
+        below = edges.join(new.select(F.col("node").alias("_up")), "_up", "left_semi").select("node").distinct()
+        new = cut(below.join(found, "node", "left_anti"))
+        if new.isEmpty():
+            break
+        found = cut(found.unionByName(new))
+    return found
+
+
 def simple_cycles(links: DataFrame, start: str, end: str, most: int) -> DataFrame:
     """`path`: every simple cycle of 2 to `most` links, turned so that its smallest node is first."""
     edges = cut(links.select(F.col(start).alias("a"), F.col(end).alias("b")).where("a is not null and b is not null and a <> b").distinct())
@@ -58,14 +72,16 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """`node`, `component`: the smallest node joined to it by the pairs. For candidate links; rounds grow with the longest chain's logarithm."""
     edges = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
     edges = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    state = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    labels = state
     while True:
         seen = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_n"))
         both = labels.join(seen, "node")
         told = both.select(F.inline(F.array(F.struct("node", "_n"), F.struct(F.col("component").alias("node"), "_n")))).groupBy("node").agg(F.min("_n").alias("_n"))
         onward = labels.select(F.col("node").alias("_n"), F.col("component").alias("_f"))
         moved = told.join(onward, "_n", "left").select("node", F.least("_n", "_f").alias("_n"))
-        state = cut(labels.join(moved, "node").select("node", "component", "_n"))
+        last, state = state, cut(labels.join(moved, "node").select("node", "component", "_n"))
+        drop(last)
         labels = state.select("node", F.least("component", "_n").alias("component"))
         if state.where("_n < component").isEmpty():
             return labels

@@ -4,9 +4,12 @@ Every node has one link, to its parent. A weighted forest keeps for each node th
 found so far and the offset (number of links) to it. Links of one partition are combined
 where they lie: each node then points to the first ancestor outside the partition. Only
 the nodes to which others point across partitions move on to the next level, which has
-fewer partitions, until one partition holds what is left; the results are then handed
-back down, level by level, each adding its offset. The first level needs no partition:
-nodes without children hang on their parent with offset 1.
+fewer partitions, until every link is combined; the results are then handed back down,
+level by level, each adding its offset. The first level needs no partition: nodes without
+children hang on their parent with offset 1. A level that hardly shrinks (long chains or
+cycles dealt over many partitions) also has its links doubled by a join; a link that has
+become longer than there are nodes can only lie in or above a cycle, which ends the search
+for cycles of any length without ever gathering one in a task.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarraf.session import cut
+from sarraf.session import cut, drop
 
 _SCHEMA = "node string, ext string, off long, tag string, on_cycle boolean"
 
@@ -86,27 +89,25 @@ def _double(links: DataFrame) -> DataFrame:
 def resolve(links: DataFrame, links_per_task: int = 1_000_000) -> DataFrame:
     """`node`, `root`, `depth`, `tag`, `on_cycle` for links (`node`, `parent`), one per node.
 
-    Nodes in or above a cycle have a null root and a tag; on_cycle is certain where true, but
-    cycle members passed over by a combined link are still to be found, and tags of one cycle
-    may differ.
-    A level splits its links into so many partitions that each has about `links_per_task`;
-    where a level leaves more than nine tenths, links are doubled by a join instead.
+    Nodes in or above a cycle have a null root and a tag, a node on the cycle; tags of one
+    cycle may differ, and on_cycle is certain only where true. A level has so many partitions
+    that each takes about `links_per_task` links.
     """
     base = cut(links.select("node", F.col("parent").alias("ext"), F.lit(1).cast("long").alias("off"), F.lit(None).cast("string").alias("tag"), F.lit(False).alias("on_cycle")))
     levels, current = [base], cut(_needed(base))
-    left, groups = current.count(), 0
+    nodes = left = current.count()
     while left:
-        wanted = -(-left // links_per_task)
-        groups = wanted if len(levels) < 40 else min(wanted, -(-groups // 4))  # by then only cycles are left
-        combined = cut(current.repartition(groups, "node").mapInArrow(_combine, _SCHEMA))
+        combined = cut(current.repartition(-(-left // links_per_task), "node").mapInArrow(_combine, _SCHEMA))
         levels.append(combined)
-        if groups == 1:
-            break
+        drop(current)
         current = cut(_needed(combined))
         remaining = current.count()
         if remaining > 0.9 * left:
-            doubled = cut(_double(combined))
+            doubled = _double(combined)
+            endless = F.col("off") > nodes  # more links than nodes: the target lies on a cycle
+            doubled = cut(doubled.withColumn("tag", F.when(endless, F.coalesce("tag", "ext")).otherwise(F.col("tag"))).withColumn("ext", F.when(~endless, F.col("ext"))))
             levels[-1] = doubled
+            drop(combined, current)
             current = cut(_needed(doubled))
             remaining = current.count()
         left = remaining
@@ -120,13 +121,15 @@ def resolve(links: DataFrame, links_per_task: int = 1_000_000) -> DataFrame:
         up = known.select(F.col("node").alias("ext"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("tag").alias("_tag"), F.lit(True).alias("_hit"))
         ons = known.where("on_cycle").select("node", F.lit(True).alias("_on"))
         lifted = below.join(up, "ext", "left").join(ons, "node", "left")
-        found = cut(lifted.select(
+        last, found = found, cut(lifted.select(
             "node",
             F.when(F.col("_hit"), F.col("_root")).otherwise(F.col("ext")).alias("root"),
             (F.col("off") + F.coalesce("_depth", F.lit(0))).alias("depth"),
             F.coalesce("tag", "_tag").alias("tag"),
             (F.col("on_cycle") | F.coalesce("_on", F.lit(False))).alias("on_cycle"),
         ))
+        drop(last, below)
+    drop(looped)
     return found
 
 
@@ -150,7 +153,7 @@ def hierarchy(links: DataFrame, node: str, parent: str, links_per_task: int = 1_
     if looped.isEmpty():
         return roots.unionByName(trees).withColumnRenamed("node", node)
     inside = cut(nodes.join(looped.select("node"), "node"))
-    members = cut(_cycle_members(inside, cut(looped.where("on_cycle").select("node"))))
+    members = _cycle_members(inside)
     cycles = cut(_least_on_cycle(inside.join(members, "node", "left_semi")).select("node", F.col("least").alias("root_id"), F.lit(0).alias("depth"), F.lit("cycle").alias("kind")))
     # With the members as roots, what is left is a forest again.
     rest = resolve(inside.join(members, "node", "left_anti").select("node", "parent"), links_per_task)
@@ -158,24 +161,33 @@ def hierarchy(links: DataFrame, node: str, parent: str, links_per_task: int = 1_
     return roots.unionByName(trees).unionByName(cycles).unionByName(into).withColumnRenamed("node", node)
 
 
-def _cycle_members(inside: DataFrame, known: DataFrame) -> DataFrame:
-    """All nodes on cycles, from some of each: parents of members are members."""
-    members, frontier = known, known
+def _cycle_members(inside: DataFrame) -> DataFrame:
+    """All nodes on cycles, of nodes that all lie in or above one.
+
+    Walking the same number of links from every node reaches fewer and fewer nodes until only
+    those on cycles are left. The number of links doubles each round; once a round reaches as
+    many nodes as the one before, these are the members.
+    """
+    state = cut(inside.select("node", F.col("parent").alias("at")))
+    reached = state.select("at").distinct().count()
     while True:
-        parents = inside.join(frontier, "node", "left_semi").select(F.col("parent").alias("node")).distinct()
-        frontier = cut(parents.join(members, "node", "left_anti"))
-        if frontier.isEmpty():
-            return members
-        members = cut(members.unionByName(frontier))
+        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("_at"))
+        last, state = state, cut(state.join(ahead, "at").select("node", F.col("_at").alias("at")))
+        drop(last)
+        now = state.select("at").distinct().count()
+        if now == reached:
+            return cut(state.select(F.col("at").alias("node")).distinct())
+        reached = now
 
 
 def _least_on_cycle(members: DataFrame) -> DataFrame:
     """`node`, `least`: the smallest node of the cycle, over twice as many links each round."""
-    state = cut(members.select("node", F.col("parent").alias("next"), F.least("node", "parent").alias("least")))
+    last = state = cut(members.select("node", F.col("parent").alias("next"), F.least("node", "parent").alias("least")))
     while True:
         ahead = state.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"))
         both = cut(state.join(ahead, "next").select("node", F.col("_next").alias("next"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("_new")))
-        state = both.drop("_new")
+        drop(last)
+        last, state = both, both.drop("_new")
         if both.where("_new").isEmpty():
             return state.select("node", "least")
 
@@ -183,22 +195,19 @@ def _least_on_cycle(members: DataFrame) -> DataFrame:
 def paths(links: DataFrame, node: str, parent: str, found: DataFrame) -> DataFrame:
     """The whole chain of each node of a tree or into a cycle, from the root down: `path`.
 
-    Walks parent by parent through the parent index, one join per step; a finished chain
-    leaves the loop, so a step handles only nodes at least that deep. `found` is the result
-    of `hierarchy`; members of cycles have the path of themselves alone.
+    Every node knows the chain up to some ancestor; each round it takes over the chain that
+    this ancestor knows, so chains double and a tree of depth d takes about log d rounds.
+    `found` is the result of `hierarchy`; members of cycles have the path of themselves alone.
     """
     index = links.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
-    walk = found.select(F.col(node).alias("node"), "root_id", "depth", "kind")
-    deepest = walk.agg(F.max("depth")).first()[0] or 0
-    walk = cut(walk.withColumns({"_at": F.col("node"), "path": F.array("node")}))
-    index = cut(index)
-    done = walk.where("depth = 0")
-    for step in range(1, deepest + 1):
-        up = index.select(F.col("node").alias("_at"), "parent")
-        moving = walk.where(F.col("depth") >= step).join(up, "_at").withColumns({"_at": F.col("parent"), "path": F.concat(F.array("parent"), "path")}).drop("parent")
-        walk = cut(moving)
-        done = done.unionByName(walk.where(F.col("depth") == step))
-    return done.select(F.col("node").alias(node), "root_id", "depth", "kind", "path")
+    kept = cut(found.select(F.col(node).alias("node"), "root_id", "depth", "kind"))
+    state = cut(kept.join(index, "node").select("node", F.array("node").alias("path"), F.when(F.col("depth") > 0, F.col("parent")).alias("at")))
+    while not state.where("at is not null").isEmpty():
+        ahead = state.select(F.col("node").alias("at"), F.col("path").alias("_path"), F.col("at").alias("_at"))
+        moved = state.where("at is not null").join(ahead, "at").select("node", F.concat("_path", "path").alias("path"), F.col("_at").alias("at"))
+        last, state = state, cut(moved.unionByName(state.where("at is null")))
+        drop(last)
+    return kept.join(state.select("node", "path"), "node").withColumnRenamed("node", node).select(node, "root_id", "depth", "kind", "path")
 
 
 def descendants(with_paths: DataFrame, node: str) -> DataFrame:

@@ -321,9 +321,7 @@ def k05_region_frame(lake: Lake) -> DataFrame:
 @query("""WITH RECURSIVE s(u) AS (SELECT org_unit_id FROM dim_org_unit WHERE org_unit_id = 'OU-000001' UNION SELECT o.org_unit_id FROM dim_org_unit o JOIN s ON o.parent_org_unit_id = s.u) SELECT employee_id, org_unit_id FROM employee_master WHERE org_unit_id IN (SELECT u FROM s)""")
 def k06_scoped(lake: Lake) -> DataFrame:
     """K-06: rows of the units below one unit, by a semi-join with its subtree."""
-    units = lake.dim_org_unit.select("org_unit_id", "parent_org_unit_id")
-    below = graphs.reach(units, "org_unit_id", "parent_org_unit_id", 12).where("end = 'OU-000001'").select(F.col("start").alias("org_unit_id"))
-    allowed = below.unionByName(units.where("org_unit_id = 'OU-000001'").select("org_unit_id"))
+    allowed = graphs.subtree(lake.dim_org_unit, "org_unit_id", "parent_org_unit_id", "OU-000001").withColumnRenamed("node", "org_unit_id")
     return lake.employee_master.join(allowed, "org_unit_id", "left_semi").select("employee_id", "org_unit_id")
 
 

@@ -29,37 +29,59 @@ def local_session(cores: str | int = "*", app: str = "sarraf", **conf: str) -> S
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one is made only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a local session without one gets its own.
+
+    On a cluster tables in a machine-local folder could not be read back by other executors,
+    so without a shared folder this raises.
+    """
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sarraf-checkpoint-"))
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and sc.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sarraf-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 _written: list[str] = []
 
 
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables `cut` has written in this process; frames that read them can't be used any more."""
     count = len(_written)
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
     return count
 
 
+def drop(*tables: DataFrame | None) -> None:
+    """Delete the tables behind frames returned by `cut`, as soon as what is made of them is written; None is passed over."""
+    for table in tables:
+        where = getattr(table, "_cut_path", None)
+        if where in _written:
+            _written.remove(where)
+            _delete(table.sparkSession, where)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` through a table written to the shared checkpoint folder.
 
     The table survives lost executors, is columnar and compressed, and a later plan reads
     only the columns it needs of it; unlike a checkpointed plan it carries no constraints
-    over, which iterative plans would pile up. `release` deletes the tables once results
-    that read them are written.
+    over, which iterative plans would pile up. Loops `drop` a round's table once the next one
+    is written; `release` deletes the rest when results that read them are written.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
