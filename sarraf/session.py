@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", app: str = "sarraf", **conf: str) -> SparkSession:
@@ -85,3 +86,10 @@ def cut(df: DataFrame) -> DataFrame:
     table = spark.read.schema(df.schema).parquet(path)
     table._cut_path = path
     return table
+
+
+def cut_counting(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """`cut`, and how many rows were written (of those that meet `condition`), counted while they are."""
+    seen = Observation()
+    table = cut(df.observe(seen, (F.count(F.lit(1)) if condition is None else F.count_if(condition)).alias("n")))
+    return table, seen.get["n"]
