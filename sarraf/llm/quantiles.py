@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sarraf.session import cut
+from sarraf.session import cut, cut_counting
 
 
 def value_counts(rows: DataFrame, groups: list[str], value: str | Column) -> DataFrame:
@@ -42,8 +42,7 @@ def local_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         if not batch.num_rows:
             continue
-        coded = batch.column(0).dictionary_encode()
-        t, v, n = coded.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        t, v, n = (batch.column(i).to_numpy() for i in range(3))
         order = np.lexsort((v, t))
         t, v, n = t[order], v[order], n[order]
         first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
@@ -51,48 +50,48 @@ def local_medians(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         run = np.cumsum(n)
         before = run[first] - n[first]
         at = np.searchsorted(run, before + (weight + 1) // 2)
-        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(t[first])), pa.array(v[at]), pa.array(weight)], names=["_t", "median", "weight"])
+        yield pa.RecordBatch.from_arrays([pa.array(t[first]), pa.array(v[at]), pa.array(weight)], names=["_t", "median", "weight"])
 
 
-def percentiles(counts: DataFrame, groups: list[str], fractions: list[float], finish: int = 20_000) -> DataFrame:
+def percentiles(counts: DataFrame, groups: list[str], fractions: list[float], most_broadcast: int = 200_000) -> DataFrame:
     """`groups`, `fraction`, `n`, `percentile`: linear interpolation between the two nearest ranks.
 
-    `counts` is as of `value_counts`. The result is exact. `finish`: once no more than so many
-    different values of all groups together are still in range, they are ranked directly.
-    Groups without values have no row; an empty table gives no rows. Groups may be null, of
-    any size and number; a group holding most rows is spread over all tasks.
+    `counts` is as of `value_counts`. The result is exact: the search runs at every size until
+    each target (a group and a fraction) has met its value. Groups without values have no row;
+    an empty table gives no rows. Groups may be null, of any size and number; a group holding
+    most rows is spread over all tasks. A round rules out about half of what is left of every
+    target, so there are about as many rounds as the largest group has binary digits. The
+    pivots, one row a target, are sent to the tasks where there are no more than
+    `most_broadcast`, and joined by a shuffle otherwise, with the same rows.
     """
-    key = F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}) if groups else F.lit("")
-    table = cut(counts.select(key.alias("_g"), *groups, F.col("value").cast("double").alias("value"), F.col("n").cast("long").alias("n")))
-    wanted = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("i"), F.lit(float(f)).alias("fraction")) for i, f in enumerate(fractions)]))
-    sizes = table.groupBy("_g", *groups).agg(F.sum("n").alias("size")).withColumn("_w", wanted)
-    rank = (F.col("size") - 1) * F.col("_w.fraction")
-    targets = sizes.select(
-        "_g", *groups, "size", F.concat("_w.i", F.lit(":"), "_g").alias("_t"), F.col("_w.fraction").alias("fraction"), (F.floor(rank + 1e-9) + 1).cast("long").alias("_rank"), F.greatest(rank - F.floor(rank + 1e-9), F.lit(0.0)).alias("_part")
-    )
-    targets = cut(targets)
-    state = targets.select("_t", F.col("_rank").alias("_k"))
-    active = cut(table.join(targets.select("_g", "_t"), "_g").select("_t", "value", "n"))
-    found = []
-    while active.count() > finish:
-        proposals = active.mapInArrow(local_medians, "_t string, median double, weight long")
-        pivots = proposals.groupBy("_t").agg(F.percentile("median", 0.5, F.col("weight")).alias("_p"))
-        pivots = cut(pivots)
+    key = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)]) if groups else F.struct(F.lit(0).alias("g"))
+    table = cut(counts.select(F.xxhash64(F.to_json(key, {"ignoreNullFields": "false"})).alias("_h"), key.alias("_g"), *groups, F.col("value").cast("double").alias("value"), F.col("n").cast("long").alias("n")))
+    wanted = F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
+    sizes = table.groupBy("_h", "_g", *groups).agg(F.sum("n").alias("size")).withColumn("fraction", wanted)
+    rank = (F.col("size") - 1) * F.col("fraction")
+    # Targets are numbered, so groups whose hashes agree stay apart.
+    targets, count = cut_counting(sizes.select("_h", "_g", *groups, "size", "fraction", F.monotonically_increasing_id().alias("_t"), (F.floor(rank + 1e-9) + 1).cast("long").alias("_k"), F.greatest(rank - F.floor(rank + 1e-9), F.lit(0.0)).alias("_part")))
+    sent = F.broadcast if count <= most_broadcast else lambda rows: rows
+    # Each value in range carries the rank still wanted of its target; a target that is met leaves one row with `_x`.
+    active, open_values = cut_counting(table.join(sent(targets.select("_h", "_g", "_t", "_k")), ["_h", "_g"]).select("_t", "value", "n", "_k", F.lit(None).cast("double").alias("_x")))
+    met = []
+    while open_values:
+        left = active.where("_x is null")
+        proposals = left.select("_t", "value", "n").mapInArrow(local_medians, "_t long, median double, weight long")
+        # A median between two proposals is a pivot as well; between infinities there is none, so the least proposal is taken.
+        median = F.percentile("median", 0.5, F.col("weight"))
+        pivots = proposals.groupBy("_t").agg(F.nanvl(median, F.min("median")).alias("_p"))
         below, equal = F.sum(F.when(F.col("value") < F.col("_p"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("value") == F.col("_p"), F.col("n")).otherwise(0))
-        three = active.join(pivots, "_t").groupBy("_t", "_p").agg(below.alias("_lt"), equal.alias("_eq"))
-        side = F.when(F.col("_k") <= F.col("_lt"), -1).when(F.col("_k") <= F.col("_lt") + F.col("_eq"), 0).otherwise(1)
-        ruled = cut(three.join(state, "_t").select("_t", "_p", side.alias("_side"), F.when(side == 1, F.col("_k") - F.col("_lt") - F.col("_eq")).otherwise(F.col("_k")).alias("_k")))
-        found.append(ruled.where("_side = 0").select("_t", F.col("_p").alias("_x")))
-        state = ruled.where("_side <> 0").select("_t", "_k")
-        inside = ((F.col("_side") < 0) & (F.col("value") < F.col("_p"))) | ((F.col("_side") > 0) & (F.col("value") > F.col("_p")))
-        active = cut(active.join(ruled.where("_side <> 0"), "_t").where(inside).select("_t", "value", "n"))
-    # At most `finish` values are left: rank them by target.
-    listed = active.groupBy("_t").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("_all")).join(state, "_t")
-    stepped = F.aggregate("_all", F.struct(F.col("_k").alias("k"), F.lit(None).cast("double").alias("x")), lambda s, r: F.struct(
-        (s["k"] - r["n"]).alias("k"), F.when(s["x"].isNull() & (s["k"] <= r["n"]), r["value"]).otherwise(s["x"]).alias("x")))
-    found.append(listed.select("_t", stepped["x"].alias("_x")))
-    lower = targets.join(reduce(DataFrame.unionByName, found), "_t")
+        three = left.join(sent(pivots), "_t").groupBy("_t", "_p").agg(F.max("_k").alias("_was"), below.alias("_lt"), equal.alias("_eq"))
+        side = F.when(F.col("_was") <= F.col("_lt"), -1).when(F.col("_was") <= F.col("_lt") + F.col("_eq"), 0).otherwise(1)
+        ruled = three.select("_t", "_p", side.alias("_side"), F.when(side == 1, F.col("_was") - F.col("_lt") - F.col("_eq")).otherwise(F.col("_was")).alias("_now"))
+        inside = F.when(F.col("_side") == 0, F.col("value") == F.col("_p")).when(F.col("_side") < 0, F.col("value") < F.col("_p")).otherwise(F.col("value") > F.col("_p"))
+        kept = left.join(sent(ruled), "_t").where(inside)
+        active, open_values = cut_counting(kept.select("_t", "value", "n", F.col("_now").alias("_k"), F.when(F.col("_side") == 0, F.col("value")).alias("_x")), F.col("_x").isNull())
+        met.append(active.where("_x is not null").select("_t", "_x"))
+    found = reduce(DataFrame.unionByName, met) if met else active.select("_t", "_x")
+    lower = targets.join(sent(found.distinct()), "_t")
     upto, above = F.sum(F.when(F.col("value") <= F.col("_x"), F.col("n")).otherwise(0)), F.min(F.when(F.col("value") > F.col("_x"), F.col("value")))
-    beyond = table.select("_g", "value", "n").join(lower.select("_g", "_t", "_x"), "_g").groupBy("_t").agg(upto.alias("_upto"), above.alias("_next"))
-    upper = F.when((F.col("_upto") > F.col("_rank")) | F.col("_next").isNull(), F.col("_x")).otherwise(F.col("_next"))
+    beyond = table.select("_h", "_g", "value", "n").join(sent(lower.select("_h", "_g", "_t", "_x")), ["_h", "_g"]).groupBy("_t").agg(upto.alias("_upto"), above.alias("_next"))
+    upper = F.when((F.col("_upto") > F.col("_k")) | F.col("_next").isNull(), F.col("_x")).otherwise(F.col("_next"))
     return lower.join(beyond, "_t").select(*groups, "fraction", F.col("size").alias("n"), (F.col("_x") + F.col("_part") * (upper - F.col("_x"))).alias("percentile"))
