@@ -5,6 +5,8 @@ a fixed number of tokens. The output is a row of slots, one block each. Every sh
 draws how many it takes of each source; slot r of a source stands for block pi(r mod B) of its
 B blocks, pi being a pseudorandom permutation of its own for each pass over the source. Slots
 and blocks are then joined by source and block number, so a large source is spread evenly.
+Draws and permutations follow from the seed and the number of the shard, so each task works
+out its own and the driver holds one row a source.
 
 The draws are multinomial under the condition that all shards together take the planned number
 of slots of each source: shares come out as planned, and no source passes its most repeats.
@@ -21,15 +23,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sarraf.session import cut
 
+#: Where the public tokenizer files lie on every executor, unless the session names another folder.
 TOKENIZERS = "/opt/tokenizers"
 _LONG = 100_000
 
 
+def tokenizer_folder(spark: SparkSession) -> str:
+    return spark.conf.get("spark.sarraf.tokenizers", TOKENIZERS)
+
+
 @lru_cache(maxsize=4)
 def load_tokenizer(path: str):
     """A tokenizer from a public file of byte-pair ranks (.tiktoken); it is never trained here.
@@ -116,26 +123,97 @@ def plan_slots(targets: list[tuple[str, float, int]], sizes: dict[str, int], len
     return plans
 
 
-def draw_shards(plans: list[Plan], shard: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard of `shard` slots: multinomial draws that add up to the plan."""
-    left = np.array([p.slots for p in plans], np.int64)
-    rng = np.random.default_rng(seed)
-    rows = []
-    while left.sum() > 0:
-        take = min(shard, int(left.sum()))
-        rows.append(rng.multivariate_hypergeometric(left, take, method="marginals"))
-        left = left - rows[-1]
-    return np.array(rows, np.int64).reshape(len(rows), len(plans))
+def draw_shards(plans: list[Plan], shard: int, seed: int, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number, slots taken of each source before it, slots of each source) of the shards `first` to `last` - 1.
 
+    Multinomial draws under the condition that all shards of `shard` slots together take the
+    plan's slots: the shards are halved again and again, and each half draws its part of what
+    is left without putting back. Every draw has a generator of its own, keyed by the half, so
+    a task that wants some shards draws only on the way down to them, alike in every task.
+    """
+    slots = np.array([p.slots for p in plans], np.int64)
+    whole = int(slots.sum())
+
+    def within(lo: int, hi: int, before: np.ndarray, mine: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= first or lo >= last:
+            return
+        if hi - lo == 1:
+            yield lo, before, mine
+            return
+        middle = (lo + hi) // 2
+        left = _without_putting_back(mine, min(middle * shard, whole) - lo * shard, np.random.default_rng([seed, lo, hi]))
+        yield from within(lo, middle, before, left)
+        yield from within(middle, hi, before + left, mine - left)
+
+    if whole:
+        yield from within(0, -(-whole // shard), np.zeros_like(slots), slots)
+
+
+def _without_putting_back(colours: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each colour come when `take` are drawn; numpy draws up to 1e9, beyond that the normal limit is rounded."""
+    out = np.zeros_like(colours)
+    left = int(colours.sum())
+    for i, n in enumerate(colours.tolist()):
+        rest = left - n
+        if take and n:
+            if n < 10**9 and rest < 10**9:
+                out[i] = rng.hypergeometric(n, rest, take)
+            else:
+                mean, spread = take * (n / left), math.sqrt(take * (n / left) * (rest / left) * ((left - take) / max(left - 1, 1)))
+                out[i] = min(max(round(rng.normal(mean, spread)), take - rest, 0), n, take)
+        take, left = take - int(out[i]), rest
+    return out
+
+
+_ROUNDS = 4
+
+
+def permuted(places: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The images of `places` under pseudorandom permutations of 0..size-1, one for each `key`.
+
+    A Feistel network over the least even number of bits that holds `size`; images beyond
+    `size` are sent through it again until they fall inside.
+    """
+    size = size.astype(np.uint64)
+    half = np.maximum((np.ceil(np.log2(np.maximum(size, 2).astype(np.float64) + 1)).astype(np.uint64) + np.uint64(1)) // np.uint64(2), np.uint64(1))
+    low = (np.uint64(1) << half) - np.uint64(1)
+    x, todo = places.astype(np.uint64), np.arange(len(places))
+    while len(todo):
+        h, m, k = half[todo], low[todo], key[todo].astype(np.uint64)
+        left, right = x[todo] >> h, x[todo] & m
+        for turn in range(_ROUNDS):
+            left, right = right, left ^ (_scrambled(right + (k ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (2**64 - 1)))) & m)
+        x[todo] = left << h | right
+        todo = todo[x[todo] >= size[todo]]
+    return x.astype(np.int64)
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    """A finaliser that spreads every bit of a 64-bit number over all others."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def slot_table(spark: SparkSession, plans: list[Plan], shard: int, seed: int) -> DataFrame:
+    """`shard`, `slot`, `source`, `pass`, `block` of every slot; draws and permutations are worked out in the tasks."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array([p.source for p in plans])
+        blocks = np.array([p.blocks for p in plans], np.int64)
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for k, before, mine in draw_shards(plans, shard, seed, int(numbers[0]), int(numbers[-1]) + 1):
+                of = np.repeat(np.arange(len(plans)), mine)
+                rank = before[of] + np.arange(len(of)) - np.repeat(np.cumsum(mine) - mine, mine)
+                turn = rank // blocks[of]
+                block = permuted(rank % blocks[of], blocks[of], _scrambled((of.astype(np.uint64) << np.uint64(32)) + turn.astype(np.uint64) + np.uint64(seed)))
+                at = permuted(np.arange(len(of)), np.full(len(of), len(of)), np.full(len(of), k + (seed << 32), np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), k)), pa.array(at), names.take(pa.array(of)), pa.array(turn.astype(np.int32)), pa.array(block)], names=["shard", "slot", "source", "pass", "block"])
 
-def permutation(blocks: int, rng: np.random.Generator) -> tuple[int, int]:
-    """(a, b) of the permutation r -> (a r + b) mod blocks; a has no factor in common with blocks."""
-    if blocks <= 2:
-        return 1, int(rng.integers(0, max(blocks, 1)))
-    while True:
-        a = int(rng.integers(1, blocks))
-        if math.gcd(a, blocks) == 1:
-            return a, int(rng.integers(0, blocks))
+    shards = -(-sum(p.slots for p in plans) // shard)
+    tasks = max(1, min(shards, max(spark.sparkContext.defaultParallelism, shards // 64)))
+    return spark.range(0, shards, 1, tasks).mapInArrow(fill, "shard long, slot long, source string, pass int, block long")
 
 
 def pack(counts: DataFrame, length: int, seed: int, bucket: int = 20_000) -> DataFrame:
@@ -178,20 +256,7 @@ def mix(counts: DataFrame, targets: list[tuple[str, float, int]], length: int =
     counts = cut(counts.where(F.col("source").isin(wanted)))
     sizes = {r[0]: r[1] for r in counts.groupBy("source").agg(F.sum("tokens")).collect()}
     plans = plan_slots(targets, sizes, length, total)
-    draws = draw_shards(plans, shard, seed)
-    rng = np.random.default_rng(seed + 1)
-    maps = [(p.source, k, p.blocks, *permutation(p.blocks, rng)) for p in plans for k in range(-(-p.slots // p.blocks) if p.blocks else 0)]
-    starts = np.cumsum(draws, axis=0) - draws
-    before = np.cumsum(draws, axis=1) - draws  # slots of a shard: its sources one after another, then permuted
-    spark = counts.sparkSession
-    takes = [(int(k), p.source, int(starts[k, i]), int(before[k, i]), int(draws[k, i]), int(draws[k].sum())) for k in range(len(draws)) for i, p in enumerate(plans) if draws[k, i]]
-    takes = spark.createDataFrame(takes, "shard int, source string, start long, before long, n long, size long")
-    maps = spark.createDataFrame(maps, "source string, pass int, blocks long, a long, b long")
-    one = maps.where("pass = 0").select("source", "blocks")
-    slots = takes.join(F.broadcast(one), "source").select("shard", "source", "blocks", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"), "start", "before")
-    rank = F.col("start") + F.col("i")
-    slots = slots.select("shard", "source", F.floor(rank / F.col("blocks")).cast("int").alias("pass"), (rank % F.col("blocks")).alias("r"), F.pmod((F.col("before") + F.col("i")) * F.lit(2_654_435_761) + F.col("shard"), F.col("size")).alias("_o"))
-    slots = slots.join(F.broadcast(maps), ["source", "pass"]).select("shard", "source", "pass", ((F.col("a") * F.col("r") + F.col("b")) % F.col("blocks")).alias("block"), F.col("_o").alias("slot"))
+    slots = slot_table(counts.sparkSession, plans, shard, seed)
     return Mixture(slots.join(pack(counts, length, seed), ["source", "block"]), plans)
 
 

@@ -29,7 +29,7 @@ def _mixture(lake: Lake) -> mixing.Mixture:
 
     targets = lake.mix_targets.select(plain("source").alias("s"), "target_share", "max_repeats").where("s is not null").groupBy("s").agg(F.sum("target_share"), F.max("max_repeats"))
     wanted = [(r[0], float(r[1]), int(r[2])) for r in targets.orderBy("s").collect()]  # a small table, one row a source
-    counts = mixing.token_counts(lake.documents, "doc_id", "text", plain("source"), f"{mixing.TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    counts = mixing.token_counts(lake.documents, "doc_id", "text", plain("source"), f"{mixing.tokenizer_folder(lake.spark)}/byte_bpe_multi_50k.tiktoken")
     return mixing.mix(counts, wanted)
 
 

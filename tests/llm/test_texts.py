@@ -116,10 +116,38 @@ def test_greater_totals_respect_caps_and_empty_tables(spark):
 
 
 def test_permutations_are_permutations():
-    rng = np.random.default_rng(0)
-    for n in (1, 2, 3, 10, 97, 360):
-        a, b = mixing.permutation(n, rng)
-        assert sorted((a * r + b) % n for r in range(n)) == list(range(n))
+    seen = set()
+    for n in (1, 2, 3, 10, 97, 360, 4096):
+        for key in (0, 1, 2**63):
+            image = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, key, np.uint64))
+            assert sorted(image.tolist()) == list(range(n))
+            if n == 360:
+                seen.add(tuple(image.tolist()))
+                steps = np.diff(image) % n
+                assert np.bincount(steps, minlength=n).max() < 12  # no common stride
+    assert len(seen) == 3
+
+
+def test_draws_are_alike_in_every_task_and_add_up():
+    plans = [mixing.Plan(f"s{i}", 0.1, 1, 0, 10, n) for i, n in enumerate((5000, 37, 0, 911))]
+    whole = list(mixing.draw_shards(plans, 64, 5, 0, 10**9))
+    assert len(whole) == -(-5948 // 64) and all(m.sum() == 64 for _, _, m in whole[:-1])
+    assert sum(m for _, _, m in whole).tolist() == [5000, 37, 0, 911]
+    run = np.zeros(4, np.int64)
+    for k, before, mine in whole:
+        assert before.tolist() == run.tolist() and (mine >= 0).all()
+        run += mine
+    part = list(mixing.draw_shards(plans, 64, 5, 20, 23))
+    assert [(k, b.tolist(), m.tolist()) for k, b, m in part] == [(k, b.tolist(), m.tolist()) for k, b, m in whole[20:23]]
+    spread = np.array([m[0] / 64 for _, _, m in whole[:-1]])
+    assert abs(spread.mean() - 5000 / 5948) < 0.02 and 0.02 < spread.std() < 0.08  # as drawn, not dealt evenly
+
+
+def test_draws_from_more_than_numpy_takes():
+    big = [mixing.Plan("a", 0.5, 1, 0, 1, 3 * 10**9), mixing.Plan("b", 0.5, 1, 0, 1, 10**9)]
+    (k, before, mine), = mixing.draw_shards(big, 4096, 1, 500_000, 500_001)
+    assert k == 500_000 and mine.sum() == 4096 and abs(mine[0] / 4096 - 0.75) < 0.05
+    assert before.sum() == 4096 * 500_000
 
 
 def test_tokens_of_long_texts_add_up():
