@@ -189,3 +189,31 @@ def test_subjects_by_paragraph(spark):
     assert got == truth
     assert subjects.subject_areas(frame, "d", "t", lab.limit(0), "d", "s", items, "t").count() == 0
     assert subjects.subject_areas(frame.limit(0), "d", "t", lab, "d", "s", items, "t").count() == 0
+
+
+def test_item_wordings_in_parts_leave_out_the_same_sentences(spark):
+    items = spark.createDataFrame([(item(i),) for i in range(8)] + [(None,), ("",)], "t string")
+    docs = spark.createDataFrame([(i, f"{prose(9)}. {item(i % 11)}. {prose(7)}.\n\n{prose(12)}.") for i in range(30)] + [(90, ""), (91, None)], "d long, t string")
+    whole, parts = (list(subjects.wordings(items, "t", most)) for most in (10**6, 300))
+    assert len(whole) == 1 and len(parts) > 3 and frozenset().union(*parts) == whole[0]
+    rows = [sorted(map(str, subjects.code_documents(docs, "d", "t", iter(p)).collect())) for p in (whole, parts, [])]
+    assert rows[0] == rows[1] != rows[2]
+
+
+def test_filters_never_miss(spark):
+    keys = [RNG.randrange(2**63) for _ in range(500)] + [0, 1, 2**63 - 1]
+    made = subjects.key_filter(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+    assert subjects.maybe_in(made, np.array(keys)).all()
+    assert subjects.maybe_in(made, np.array([RNG.randrange(2**63) for _ in range(2000)])).mean() < 0.01
+
+
+def test_propagation_reaches_unlabelled_documents_and_keeps_several_subjects(spark):
+    words = {s: [f"{s}{i}" for i in range(12)] for s in ("aaa", "bbb", "ccc")}
+    rng = random.Random(2)
+    docs = [(i, [subjects.term_number(w) for s in own for w in rng.sample(words[s], 6)]) for i, own in enumerate([("aaa",), ("bbb",), ("ccc",), ("aaa", "bbb")] * 30)]
+    coded = spark.createDataFrame(docs, "doc long, terms array<long>")
+    seeds = spark.createDataFrame([(i, s) for i in range(24) for s, own in enumerate(("aaa", "bbb", "ccc"), 1) if (i % 4 == s - 1) or (i % 4 == 3 and s < 3)], "doc long, s int")
+    shares, terms = subjects.propagate(coded, seeds)
+    got = {r["doc"]: {x["s"] for x in r["shares"] if x["w"] >= 0.2} for r in shares.collect()}
+    assert got == {i: [{1}, {2}, {3}, {1, 2}][i % 4] for i in range(120)}
+    assert terms.count() >= 30
