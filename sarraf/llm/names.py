@@ -211,36 +211,38 @@ def pick_pivots(tokens: DataFrame, count: int = 16, sample: int = 4096) -> list[
     return pivots
 
 
-def radius_join(objects: DataFrame, radius: int = 2, pivots: int = 6, sample: int = 4096) -> DataFrame:
-    """`key`, `a`, `b`: all pairs a <= b of tokens of one key within `radius` edits, equal ones included.
+def radius_join(objects: DataFrame, radius: int = 2, pivots: int = 4, sample: int = 4096, equal: bool = True) -> DataFrame:
+    """`key`, `a`, `b`: all pairs a < b of tokens of one key within `radius` edits, with `equal` also a = b.
 
     `objects` has `key` and `token`. Cells are made of different tokens, so copies cost nothing.
-    The radius shrinks to one third of the length of the longer token where that is less.
+    A pair may differ by at most one third of the length of its longer token where that is less
+    than `radius`; a token's own radius is what it may differ by from any other. Each pair meets
+    once, in the home cell of its smaller token.
     """
-    objects = objects.select("key", "token").where("key is not null and token is not null").distinct()
-    objects = cut(objects)
+    objects = cut(objects.select("key", "token").where("key is not null and token is not null").distinct())
     tokens = cut(objects.select("token").distinct())
     chosen = pick_pivots(tokens, pivots, sample)
+    same = objects.select("key", F.col("token").alias("a"), F.col("token").alias("b"))
     if not chosen:
-        return objects.select("key", F.col("token").alias("a"), F.col("token").alias("b"))
+        return same if equal else same.limit(0)
     spread = F.array(*[F.levenshtein(F.col("token"), F.lit(p)) for p in chosen])
-    placed = tokens.withColumn("_d", spread).withColumn("_least", F.array_min("_d"))
+    own = F.least(F.lit(radius), F.floor((F.length("token") + radius) / 3).cast("int"))  # the longer token of a pair is at most `radius` longer
+    placed = tokens.withColumns({"_d": spread, "_own": own}).withColumn("_least", F.array_min("_d"))
     placed = cut(placed.select("token", (F.array_position("_d", F.col("_least")) - 1).cast("int").alias("home"), F.filter(
-        F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda i: F.get("_d", i) <= F.col("_least") + 2 * radius).alias("cells")))
+        F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda i: F.get("_d", i) <= F.col("_least") + 2 * F.col("_own")).alias("cells")))
     located = cut(objects.join(placed, "token"))
     homes = located.select("key", F.col("token").alias("a"), F.col("home").alias("cell"))
     guests = located.select("key", F.col("token").alias("b"), F.explode("cells").alias("cell"))
     reach = F.least(F.lit(radius), F.floor(F.greatest(F.length("a"), F.length("b")) / 3).cast("int"))
     edits = F.levenshtein("a", "b", radius)  # -1 beyond the radius
-    met = homes.join(guests, ["key", "cell"]).where((F.abs(F.length("a") - F.length("b")) <= radius) & (edits >= 0) & (edits <= reach))
-    # A pair with two homes meets in both of them.
-    return met.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = homes.join(guests, ["key", "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= radius) & (edits >= 0) & (edits <= reach)).select("key", "a", "b")
+    return met.unionByName(same) if equal else met
 
 
-_FORMS = "employee_id string, en array<string>, ar array<string>, anchors array<string>"
+_FORMS = "id string, en array<string>, ar array<string>, anchors array<string>"
 
 
-def link_names(people: DataFrame, aliases: dict[str, frozenset[str]], radius: int = 2, pivots: int = 6) -> DataFrame:
+def link_names(people: DataFrame, aliases: dict[str, frozenset[str]], radius: int = 2, pivots: int = 4) -> DataFrame:
     """`a`, `b`: ids of records whose names are forms of one and that agree on a key.
 
     `people` has `id`, `name_en`, `name_ar` and `keys`, an array of strings of which the first
@@ -254,24 +256,35 @@ def link_names(people: DataFrame, aliases: dict[str, frozenset[str]], radius: in
             en = [name_parts(n) for n in batch.column(1).to_pylist()]
             ar = [name_parts(n) for n in batch.column(2).to_pylist()]
             ends = [sorted(_anchors(e, aliases) | _anchors(a, aliases)) for e, a in zip(en, ar)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.list_(pa.string())) for x in (en, ar, ends)]], names=["employee_id", "en", "ar", "anchors"])
-
-    named = people.select(F.col("id").cast("string"), "name_en", "name_ar").mapInArrow(forms, _FORMS).withColumnRenamed("employee_id", "id")
-    keyed = people.select(F.col("id").cast("string").alias("id"), F.explode("keys").alias("key")).where("id is not null and key is not null").distinct()
-    records = cut(named.where("size(en) > 0 or size(ar) > 0").distinct().join(keyed, "id"))
-    # One class per key and pair of names; its smallest record stands for it.
-    classes = cut(records.groupBy("key", "en", "ar", "anchors").agg(F.min("id").alias("rep")))
-    copies = records.join(classes, ["key", "en", "ar", "anchors"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    objects = cut(classes.select("key", "rep", "en", "ar", F.explode("anchors").alias("token")))
-    near = cut(radius_join(objects, radius, pivots))
-    left = objects.select("key", F.col("token").alias("a"), F.col("rep").alias("rep_a"), F.col("en").alias("en_a"), F.col("ar").alias("ar_a"))
-    right = objects.select("key", F.col("token").alias("b"), F.col("rep").alias("rep_b"), F.col("en").alias("en_b"), F.col("ar").alias("ar_b"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.list_(pa.string())) for x in (en, ar, ends)]], names=["id", "en", "ar", "anchors"])
+
+    rows = people.select(F.col("id").cast("string").alias("id"), "name_en", "name_ar", "keys").where("id is not null")
+    # A record's name is a number until names are compared; numbers are only ever equated under one key.
+    named = rows.select("id", "name_en", "name_ar").distinct().mapInArrow(forms, _FORMS).where("size(en) > 0 or size(ar) > 0").withColumn("form", F.xxhash64("en", "ar"))
+    named = cut(named.dropDuplicates(["id", "form"]))
+    keyed = cut(rows.select("id", F.explode("keys").alias("key")).where("key is not null").distinct())
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")  # a key of one id links nobody
+    records = cut(keyed.join(shared, "key", "left_semi").join(named.select("id", "form"), "id"))
+    # One class per key and name; its smallest record stands for it.
+    classes = cut(records.groupBy("key", "form").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n")))
+    copies = records.join(classes.where("n > 1").select("key", "form", "rep"), ["key", "form"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    several = classes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    heads = classes.join(several, "key", "left_semi").join(named.select(F.col("id").alias("rep"), "form", "anchors"), ["rep", "form"])
+    objects = cut(heads.select("key", "rep", "form", F.explode("anchors").alias("token")))
+    # A token of one key held by one class alone has no equal to meet.
+    met_equal = objects.groupBy("key", "token").agg(F.count("*").alias("n")).where("n > 1").select("key", F.col("token").alias("a"), F.col("token").alias("b"))
+    near = cut(radius_join(objects, radius, pivots, equal=False).unionByName(met_equal))
+    left = objects.select("key", F.col("token").alias("a"), F.col("rep").alias("rep_a"), F.col("form").alias("form_a"))
+    right = objects.select("key", F.col("token").alias("b"), F.col("rep").alias("rep_b"), F.col("form").alias("form_b"))
     met = near.join(left, ["key", "a"]).join(right, ["key", "b"]).where("rep_a <> rep_b")
     swap = F.col("rep_a") > F.col("rep_b")
     side = lambda c, d: F.when(swap, F.col(d)).otherwise(F.col(c))
-    columns = [side(f"{c}_{x}", f"{c}_{y}").alias(f"{c}_{x}") for c in ("rep", "en", "ar") for x, y in (("a", "b"), ("b", "a"))]
-    pairs = met.select(F.substring("key", 1, 1).alias("kind"), *columns).groupBy("rep_a", "en_a", "ar_a", "rep_b", "en_b", "ar_b").agg(
-        F.max((F.col("kind") == "d").cast("int")).alias("born"), F.max((F.col("kind") != "d").cast("int")).alias("paper"))
+    columns = [side(f"{c}_{x}", f"{c}_{y}").alias(f"{c}_{x}") for c in ("rep", "form") for x, y in (("a", "b"), ("b", "a"))]
+    born = F.col("kind") == "d"
+    pairs = met.select(F.substring("key", 1, 1).alias("kind"), *columns).groupBy("rep_a", "form_a", "rep_b", "form_b").agg(
+        F.max(born.cast("int")).alias("born"), F.max((~born).cast("int")).alias("paper"))
+    name = lambda x: named.select(F.col("id").alias(f"rep_{x}"), F.col("form").alias(f"form_{x}"), F.col("en").alias(f"en_{x}"), F.col("ar").alias(f"ar_{x}"))
+    full = pairs.join(name("a"), ["rep_a", "form_a"]).join(name("b"), ["rep_b", "form_b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +294,7 @@ def link_names(people: DataFrame, aliases: dict[str, frozenset[str]], radius: in
             yield pa.RecordBatch.from_arrays([batch.column("rep_a").filter(mask), batch.column("rep_b").filter(mask)], names=["a", "b"])
 
     # Comparing costs far more than its bytes suggest, so it is spread over all cores.
-    spread = pairs.repartition(3 * people.sparkSession.sparkContext.defaultParallelism, "rep_a", "rep_b")
+    spread = full.repartition(3 * people.sparkSession.sparkContext.defaultParallelism, "rep_a", "rep_b")
     return spread.mapInArrow(compare, "a string, b string").unionByName(copies).distinct()
 
 
