@@ -9,7 +9,7 @@ longest common subsequence of document and item, by the words that lie in common
 by whether the facts of those runs (numbers, codes, names) are the item's own.
 
 Everything that is broadcast or gathered on the driver is as large as the vocabulary of
-the items, which `fit_items` bounds; nothing grows with the corpus.
+one part of the items, which `fit_items` bounds; nothing grows with the corpus.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,16 +54,20 @@ class Items:
     vocabulary: dict[str, int]
 
 
-def fit_items(items: DataFrame, item: str, text: str, most_words: int = 200_000) -> Items:
-    """Read the evaluation items. Their words are held in memory everywhere, so their number is bounded."""
-    given = items.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    total = given.agg(F.sum(F.length("t"))).first()[0] or 0
-    if total > 12 * most_words:
-        raise ValueError(f"evaluation items of {total} characters are too many for one vocabulary of {most_words} words")
-    rows = [(r["i"], words(r["t"])) for r in given.distinct().orderBy("i", "t").collect()]
-    rows = [(i, w) for i, w in rows if w]
-    vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
-    return Items([i for i, _ in rows], [np.array([vocabulary[w] for w in ws], np.int32) for _, ws in rows], vocabulary)
+def fit_items(items: DataFrame, item: str, text: str, most_words: int = 200_000) -> Iterator[Items]:
+    """Read the evaluation items, in as many parts as it takes for none to have more than about `most_words` words.
+
+    The words of one part are held in memory everywhere; items are dealt to parts by hash.
+    """
+    given = items.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
+    parts = -(-(given.agg(F.sum(F.length("t"))).first()[0] or 0) // (12 * most_words))
+    for part in range(parts):
+        mine = given.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
+        rows = [(r["i"], words(r["t"])) for r in mine.orderBy("i", "t").collect()]
+        rows = [(i, w) for i, w in rows if w]
+        vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in rows for w in ws}))}
+        if vocabulary:
+            yield Items([i for i, _ in rows], [np.array([vocabulary[w] for w in ws], np.int32) for _, ws in rows], vocabulary)
 
 
 def word_numbers(documents: DataFrame, doc: str, text: str, vocabulary: dict[str, int]) -> DataFrame:
@@ -200,7 +205,7 @@ def latent_basis(coded: DataFrame, idf: np.ndarray, rank: int = 128, extra: int
         yield _lines(np.flatnonzero(seen), total[seen])
 
     kind = "word int, line array<float>"
-    parts = coded.select("words").mapInArrow(sketch, kind).repartition(8, "word").mapInArrow(add, kind).collect()
+    parts = coded.select("words").mapInArrow(sketch, kind).repartition("word").mapInArrow(add, kind).collect()
     y = np.zeros((size, width))
     for r in parts:
         y[r["word"]] = r["line"]
@@ -267,22 +272,59 @@ def covered_words(item: np.ndarray, doc: list[int], fact: np.ndarray, least: int
     return int(inside.sum()), int((inside & fact).sum()), int((inside & fact & agreed).sum())
 
 
-def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, share: float = 0.5, near: float = 0.6, rank: int = 128) -> DataFrame:
+def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, share: float = 0.5, near: float = 0.6, own: float = 0.36, rank: int = 128, most_words: int = 200_000) -> DataFrame:
     """`doc_id`, `item_id`, `share`: documents that hold at least `share` of the words of an item.
 
-    All documents and their whole texts are searched. `near` is the least latent cosine of a
-    passage of the document with one of the item for the pair to be verified; passages of
-    which foreign words make up so much that no cosine can reach it are passed over, a bound
-    and no guess. Null ids, null, empty and wordless texts and items give no rows; a
-    text may be of any length; equal texts each get their rows; extra columns are ignored.
+    All documents and their whole texts are searched. A passage of a document is compared if
+    at least `own` of its squared length is in words of the items, which takes some seven of
+    its 24 words; `near` is the least latent cosine with a passage of an item for the pair to
+    be verified. Both are thresholds of the search, not bounds of the verification: an item
+    scattered over a text in phrases of fewer words is not found. Items of more than
+    `most_words` words are searched for in parts, each a pass over the documents. Null ids,
+    null, empty and wordless texts and items give no rows; a text may be of any length; equal
+    texts each get their rows; extra columns are ignored.
     """
-    fitted = fit_items(items, item, item_text)
-    size = len(fitted.vocabulary)
-    coded = word_numbers(documents, doc, text, fitted.vocabulary)
     schema = "doc_id long, item_id long, share double"
-    if not size:
-        return coded.sparkSession.createDataFrame([], schema)
-    coded = cut(coded)
+    found = [_find(documents, doc, text, fitted, share, near, own, rank) for fitted in fit_items(items, item, item_text, most_words)]
+    if not found:
+        return documents.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+
+
+def verified(item: np.ndarray, pieces: list[tuple[dict[int, int], int]], fact: np.ndarray, doc: list[int], share: float) -> float | None:
+    """The share of the words of an item that stand in a document, None if it is under `share` or the facts differ.
+
+    First the longest common subsequences of the item's pieces with the document, which may
+    have them in any order; then the common runs and their facts.
+    """
+    need = share * len(item)
+    if sum(common_subsequence(masks, n, doc) for masks, n in pieces) < 0.5 * need:
+        return None
+    inside, told, true = covered_words(item, doc, fact)
+    return inside / len(item) if inside >= need and true >= 0.6 * told else None
+
+
+def item_pieces(item: list[int]) -> list[tuple[dict[int, int], int]]:
+    """For each stretch of at most `WIDTH` words the bits of the places of its words, and its length."""
+    pieces = []
+    for s in range(0, len(item), WIDTH):
+        masks: dict[int, int] = {}
+        for i, w in enumerate(item[s : s + WIDTH]):
+            masks[w] = masks.get(w, 0) | 1 << i
+        pieces.append((masks, len(item[s : s + WIDTH])))
+    return pieces
+
+
+def fact_words(fitted: Items, idf: np.ndarray) -> np.ndarray:
+    """A flag for each word of the vocabulary: numbers, codes and the rarer half."""
+    number = {n: w for w, n in fitted.vocabulary.items()}
+    return np.array([any(c.isdigit() for c in number[n]) for n in range(len(number))]) | (idf >= np.quantile(idf, 0.5))
+
+
+def _find(documents: DataFrame, doc: str, text: str, fitted: Items, share: float, near: float, own: float, rank: int) -> DataFrame:
+    schema = "doc_id long, item_id long, share double"
+    size = len(fitted.vocabulary)
+    coded = cut(word_numbers(documents, doc, text, fitted.vocabulary))
     idf = weights(*passage_frequencies(coded, size))
     basis = latent_basis(coded, idf, rank)
     lists = [x.tolist() for x in fitted.texts]
@@ -295,16 +337,9 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
         queries[k] = idf[ids].astype(np.float32) @ basis[ids]
     norms = np.linalg.norm(queries, axis=1, keepdims=True)
     queries /= np.where(norms == 0, 1, norms)
-    number = {n: w for w, n in fitted.vocabulary.items()}
-    rare = idf >= np.quantile(idf, 0.5)
-    isfact = np.array([any(c.isdigit() for c in number[n]) for n in range(size)]) | rare
+    isfact = fact_words(fitted, idf)
     facts = [isfact[t] for t in fitted.texts]
-    masks = []
-    for t in lists:
-        m: dict[int, int] = {}
-        for i, w in enumerate(t):
-            m[w] = m.get(w, 0) | 1 << i
-        masks.append(m)
+    pieces = [item_pieces(t) for t in lists]
     texts = fitted.texts
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +347,7 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
             for start, lists in _chunks(batch, "words"):
                 row, word, foreign, owner_doc, n = _entries(lists, size, idf > 0)
                 w, known = _weigh(row, word, foreign, idf, n)
-                able = known >= near * near
+                able = known >= own
                 keep = able[row]
                 row, word, w = row[keep], word[keep], w[keep]
                 at = np.flatnonzero(able)
@@ -328,13 +363,10 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
                 for d, i in zip((pairs // len(texts)).tolist(), (pairs % len(texts)).tolist()):
                     if d != last:
                         mine, last = flat[offsets[d] : offsets[d + 1]].tolist(), d
-                    need = share * len(texts[i])
-                    if common_subsequence(masks[i], len(texts[i]), mine) < 0.7 * need:
-                        continue
-                    inside, told, true = covered_words(texts[i], mine, facts[i])
-                    if inside >= need and true >= 0.6 * told:
-                        found.append((d, i, inside / len(texts[i])))
+                    told = verified(texts[i], pieces[i], facts[i], mine, share)
+                    if told is not None:
+                        found.append((d, i, told))
                 at_doc = pa.array([start + f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at_doc), pa.array([fitted.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["doc_id", "item_id", "share"])
 
-    return coded.mapInArrow(search, schema).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    return coded.mapInArrow(search, schema)

@@ -52,9 +52,31 @@ def test_leaks_are_found_and_look_alikes_are_not(spark):
     assert leakage.find_leaks(frame.limit(0), "d", "t", evals, "i", "t").count() == 0
 
 
+def test_search_misses_no_pair_that_verification_accepts(spark):
+    rng = random.Random(11)
+    evals = {i: item(i) for i in range(40)}
+    docs = []
+    for i in range(400):
+        w = evals[rng.randrange(40)].split()
+        half = len(w) // 2
+        body = {0: w, 1: w[half:] + w[:half], 2: w[: half + 3], 3: w[: half // 2 + 2] + prose(9).split() + w[half:], 4: w[:5], 5: [], 6: [x if k % 6 else "smudge" for k, x in enumerate(w)], 7: w[:9] + prose(6).split() + w[9:18] + prose(6).split() + w[18:]}[i % 8]
+        docs.append((i, f"{prose(rng.randrange(0, 60))} {' '.join(body)} {prose(rng.randrange(0, 60))}"))
+    frame = spark.createDataFrame(docs, "d long, t string")
+    table = spark.createDataFrame(list(evals.items()), "i long, t string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(frame, "d", "t", table, "i", "t").collect()}
+    (fitted,) = leakage.fit_items(table, "i", "t")
+    coded = leakage.word_numbers(frame, "d", "t", fitted.vocabulary).collect()
+    idf = leakage.weights(*leakage.passage_frequencies(leakage.word_numbers(frame, "d", "t", fitted.vocabulary), len(fitted.vocabulary)))
+    fact = leakage.fact_words(fitted, idf)
+    want = {(r["doc"], i) for r in coded for i, t in zip(fitted.ids, fitted.texts) if leakage.verified(t, leakage.item_pieces(t.tolist()), fact[t], list(r["words"]), 0.5) is not None}
+    assert len(want) > 200 and got <= want and len(got) >= 0.98 * len(want)
+    parts = {(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(frame, "d", "t", table, "i", "t", most_words=150).collect()}
+    assert len(list(leakage.fit_items(table, "i", "t", 150))) > 2 and len(parts & want) >= 0.95 * len(want)
+
+
 def test_latent_basis_spans_the_leading_directions(spark):
     items = spark.createDataFrame([(i, item(i)) for i in range(6)], "i long, t string")
-    fitted = leakage.fit_items(items, "i", "t")
+    (fitted,) = leakage.fit_items(items, "i", "t")
     docs = spark.createDataFrame([(i, item(i % 6) + " " + prose(6)) for i in range(60)], "d long, t string")
     coded = leakage.word_numbers(docs, "d", "t", fitted.vocabulary).cache()
     size = len(fitted.vocabulary)
