@@ -15,6 +15,9 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_
     greatest values counts. Rows of `left` with null key or time are kept with nulls.
     """
     names = left.columns
+    whole = F.col(on).isNotNull() & F.col(left_time).isNotNull()
+    passing = left.where(~whole)  # never in a window, however many there are
+    left, nothing = left.where(whole), right.select(*values).schema
     tile = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / tile_days)
     found = F.struct(F.col(right_time).alias("t"), *[F.col(v) for v in values])
     kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
@@ -29,7 +32,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_
     rows = l_rows.unionByName(r_rows, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
     upto = Window.partitionBy("_k", "_tile").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     matched = rows.select("_side", "_k", "_t", "_row", F.last("_found", ignorenulls=True).over(upto).alias("_found")).where("_side = 1")
-    fits = F.col("_k").isNotNull() & F.col("_t").isNotNull() & F.col("_found").isNotNull()
+    fits = F.col("_found").isNotNull()
     if tolerance_days is not None:
         fits = fits & (F.datediff("_t", "_found.t") <= tolerance_days)
-    return matched.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], *[F.when(fits, F.col(f"_found.{v}")).alias(v) for v in values])
+    found = matched.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(names)], *[F.when(fits, F.col(f"_found.{v}")).alias(v) for v in values])
+    return found.union(passing.select(*[F.col(f"`{c}`") for c in names], *[F.lit(None).cast(nothing[v].dataType).alias(v) for v in values]))

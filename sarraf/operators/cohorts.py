@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sarraf.operators.distribution import percentiles
+from sarraf.session import cut
+
 
 def long_metrics(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """keys, `metric`, `value` (double) of every value that is neither null nor NaN."""
@@ -16,20 +19,18 @@ def long_metrics(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
 
 def median_and_mad(rows: DataFrame, keys: list[str], value: str = "value", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """keys, `n`, `median`, `mad`, `low`, `high`: the deviation is taken in a second pass from the joined median."""
-    first = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(F.lit(0.5), F.lit(low), F.lit(high))).alias("_p"))
-    first = first.select(*keys, "n", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("low"), F.col("_p")[2].alias("high"))
-    away = rows.join(first.select(*keys, "median"), keys).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    first = cut(percentiles(rows, keys, value, {"median": 0.5, "low": low, "high": high}))
+    away = rows.join(first.select(*keys, "median"), keys).withColumn("_away", F.abs(F.col(value) - F.col("median")))
+    away = percentiles(away, keys, "_away", {"mad": 0.5}).drop("n")
     return first.join(away, keys)
 
 
 def ladder_stats(rows: DataFrame, ladder: list[list[str]], metrics: list[str]) -> DataFrame:
     """`level`, `cohort`, `metric` and the robust statistics, for every grouping of the ladder, finest first."""
-    parts = []
-    for level, grouping in enumerate(ladder, 1):
-        keyed = rows.where(reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in grouping], F.lit(True)))
-        named = long_metrics(keyed.withColumn("cohort", F.concat_ws("|", *grouping)), ["cohort"], metrics).withColumn("level", F.lit(level))
-        parts.append(median_and_mad(named, ["level", "cohort", "metric"]))
-    return reduce(DataFrame.unionByName, parts)
+    whole = [reduce(lambda a, b: a & b, [F.col(g).isNotNull() for g in grouping], F.lit(True)) for grouping in ladder]
+    rungs = F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(i).alias("level"), F.concat_ws("|", *g).alias("cohort"))) for i, (ok, g) in enumerate(zip(whole, ladder), 1)]))
+    values = cut(long_metrics(rows.select("*", F.inline(rungs)), ["level", "cohort"], metrics))  # all rungs in one pass
+    return median_and_mad(values, ["level", "cohort", "metric"])
 
 
 def choose_rung(rows: DataFrame, key: str, ladder: list[list[str]], metric: str, stats: DataFrame, least: int) -> DataFrame:

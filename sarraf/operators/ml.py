@@ -11,29 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sarraf.operators import distribution
 from sarraf.operators.windows import global_rank
 
 
-def ordinal_codes(rows: DataFrame, column: str, name: str, most: int = 100_000) -> DataFrame:
-    """`rows` with `name`: the rank of the value among the different values, null for null. Levels are a dictionary of at most `most`."""
-    levels = rows.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1)
-    values = [r[0] for r in levels.collect()]
-    if len(values) > most:
-        raise ValueError(f"{column} has more than {most} levels")
-    if not values:
-        return rows.withColumn(name, F.lit(None).cast("int"))
-    return rows.withColumn(name, F.when(F.col(column).isNotNull(), F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)).cast("int") - 1))
+def ordinal_codes(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """`rows` with `name`: the rank of the value among the different values, null for null. Levels are a table, of any number."""
+    levels = global_rank(rows.select(column).where(F.col(column).isNotNull()).distinct(), [F.col(column)], "_place")
+    return rows.join(levels.select(column, (F.col("_place") - 1).cast("int").alias(name)), column, "left")
 
 
 def robust_scale(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each column as (x - median) / (1.4826 MAD), nulls and NaN as the median; where the MAD is 0 the deviation, else 1."""
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    medians = rows.agg(*[F.median(clean[c]).alias(c) for c in columns]).first()
+    medians = distribution.medians(rows, clean)
     centred = {c: clean[c] - F.lit(medians[c] if medians[c] is not None else 0.0) for c in columns}
-    spreads = rows.agg(*[F.median(F.abs(centred[c])).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(centred[c]).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    away = distribution.medians(rows, {c: F.abs(centred[c]) for c in columns})
+    spreads = rows.agg(*[F.stddev_samp(centred[c]).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     scaled = {}
     for i, c in enumerate(columns):
-        spread = 1.4826 * (spreads[f"m{i}"] or 0.0) or spreads[f"s{i}"] or 1.0
+        spread = 1.4826 * (away[c] or 0.0) or spreads[f"s{i}"] or 1.0
         scaled[c] = F.coalesce(centred[c] / F.lit(float(spread)), F.lit(0.0))
     return rows.withColumns(scaled)
 

@@ -94,29 +94,31 @@ class Rule:
         tests = [F.expr(x) for x in (self.predicate, self.impact, self.severity, self.exclusion) if x]
         _ = rows.select(*tests, *[F.col(e) for e in self.evidence]).schema
 
-    def hits(self, rows: DataFrame) -> DataFrame:
-        """Rows that satisfy the predicate and are not excluded; unknown excludes nothing."""
+    def holds(self) -> Column:
+        """Whether a row satisfies the predicate and is not excluded; unknown excludes nothing."""
         kept = F.expr(self.predicate)
-        if self.exclusion:
-            kept = kept & ~F.coalesce(F.expr(self.exclusion), F.lit(False))
-        return rows.where(kept)
-
-
-def run_rule(rule: Rule, rows: DataFrame, key: str, period: str) -> DataFrame:
-    """Windows of consecutive months in which a rule holds, with its impact and last month's evidence."""
-    rule.validate(rows)
-    found = rule.hits(rows).select(key, month_index(period).alias("_m"), F.expr(rule.impact).cast("double").alias("impact"), F.expr(rule.severity).alias("severity"), *rule.evidence)
-    one = found.groupBy(key, "_m").agg(F.sum("impact").alias("impact"), F.max(F.struct("severity", *rule.evidence)).alias("_e"))
-    one = one.select(key, "_m", "impact", F.col("impact").alias("monthly"), "_e.*")
-    runs = collapse_runs(one, [key], "_m", ["impact"], ["monthly", "severity", *rule.evidence])
-    text = message(rule.template) if rule.template else F.lit(None).cast("string")
-    shaped = runs.withColumns({"period_from": period_of_index("first_step"), "period_to": period_of_index("last_step")})
-    return shaped.select(key, F.lit(rule.code).alias("code"), "severity", "period_from", "period_to", F.col("steps").alias("months"), "monthly", F.col("impact").alias("cumulative"), text.alias("description"))
+        return kept & ~F.coalesce(F.expr(self.exclusion), F.lit(False)) if self.exclusion else kept
+
+    def hits(self, rows: DataFrame) -> DataFrame:
+        return rows.where(self.holds())
 
 
 def run_rules(rules: list[Rule], rows: DataFrame, key: str, period: str) -> DataFrame:
-    """The findings of all rules over one shared input."""
-    return reduce(DataFrame.unionByName, [run_rule(r, rows, key, period) for r in rules])
+    """Windows of consecutive months in which each rule holds, with impact and the last month's severity and message.
+
+    Every row is tagged with all the rules it meets in one pass; months and windows of all
+    rules are then found together, in one aggregation and one window over (key, code).
+    """
+    for rule in rules:
+        rule.validate(rows)
+    text = lambda r: message(r.template) if r.template else F.lit(None).cast("string")
+    tags = [F.when(r.holds(), F.struct(F.lit(r.code).alias("code"), F.expr(r.impact).cast("double").alias("impact"), F.expr(r.severity).cast("string").alias("severity"), text(r).alias("description"))) for r in rules]
+    found = rows.select(F.col(key), month_index(period).alias("_m"), F.inline(F.array_compact(F.array(*tags))))
+    one = found.groupBy(key, "code", "_m").agg(F.sum("impact").alias("impact"), F.max(F.struct("severity", "description")).alias("_e"))
+    one = one.select(key, "code", "_m", "impact", F.col("impact").alias("monthly"), "_e.*")
+    runs = collapse_runs(one, [key, "code"], "_m", ["impact"], ["monthly", "severity", "description"])
+    shaped = runs.withColumns({"period_from": period_of_index("first_step"), "period_to": period_of_index("last_step")})
+    return shaped.select(key, "code", "severity", "period_from", "period_to", F.col("steps").alias("months"), "monthly", F.col("impact").alias("cumulative"), "description")
 
 
 def what_if(rows: DataFrame, key: str, value, overrides: dict[str, object]) -> DataFrame:

@@ -19,10 +19,14 @@ def collapse_runs(rows: DataFrame, keys: list[str], step: str, totals: list[str]
     return runs.select(*keys, "first_step", "last_step", "steps", *totals, *[F.col(f"_last.{e}").alias(e) for e in evidence])
 
 
-def latest_row(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in `order`; ties are broken by the given columns alone."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def latest_row(rows: DataFrame, keys: list[str], latest: list[str]) -> DataFrame:
+    """The row of each key that is greatest in the `latest` columns, one after another, then in the others; nulls are least.
+
+    A maximum, so each task keeps one row a key before the shuffle, however many a key has.
+    """
+    others = [c for c in rows.columns if c not in keys and c not in latest]
+    top = rows.groupBy(*keys).agg(F.max(F.struct(*latest, *others)).alias("_top"))
+    return top.select(*[F.col(c) if c in keys else F.col("_top")[c].alias(c) for c in rows.columns])
 
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -31,12 +35,6 @@ def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int) -> Data
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def cumulative_rank(value: str, within: str | None = None) -> Column:
-    """The share of rows (of `within`) with a value not greater, as 0 to 100."""
-    w = Window.partitionBy(*([within] if within else [])).orderBy(value)
-    return F.cume_dist().over(w) * 100
-
-
 def running_sum(value: Column, keys: list[str], order: str) -> Column:
     return F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sarraf.functions import keys as K
 from sarraf.functions import periods as P
 from sarraf.functions import text as X
-from sarraf.operators import cohorts, graphs, integrity, ml, rules, windows
+from sarraf.operators import cohorts, distribution, graphs, integrity, ml, rules, windows
 from sarraf.plans import problems
 from sarraf.plans.base import Registry
 from sarraf.session import cut
@@ -161,7 +161,7 @@ o AS (SELECT user_id, layer, max(rank) AS score FROM r GROUP BY ALL)"""
 
 def _findings(lake: Lake) -> DataFrame:
     e = lake.events.groupBy("user_id", F.col("event_type").alias("layer"), F.trunc("ts", "month").alias("m")).agg(F.round(F.sum("value"), 2).alias("impact"))
-    return e.where("impact >= 10").withColumn("rank", windows.cumulative_rank("impact", "layer"))
+    return distribution.with_cumulative_rank(cut(e.where("impact >= 10")), "impact", "layer", "rank")
 
 
 @query(_FINDINGS + """, w AS (SELECT user_id, avg(score) AS base, count(*) AS layers FROM o GROUP BY user_id)
@@ -439,11 +439,11 @@ def x13_corroboration(lake: Lake) -> DataFrame:
 def m12_separation(lake: Lake) -> DataFrame:
     """M-12: how well a score separates: medians, share of the bad in the top tenth, lift."""
     o = lake.orders.select("o_orderkey", F.col("o_totalprice").alias("v"), (F.col("o_orderstatus") == "F").alias("bad"))
-    cut_at = o.agg(F.percentile("v", 0.9).alias("v90"))
-    top = o.crossJoin(F.broadcast(cut_at))  # one row
+    top = o.crossJoin(F.broadcast(distribution.percentiles(o, [], "v", {"v90": 0.9}).select("v90")))  # one row
     high = F.col("v") >= F.col("v90")
     bad = F.col("bad")
-    out = top.agg(F.round(F.median(F.when(bad, F.col("v"))), 4).alias("bad_median"), F.round(F.median(F.when(~bad, F.col("v"))), 4).alias("good_median"), (F.count_if(bad & high) / F.count_if(bad)).alias("recall"), ((F.count_if(bad & high) / F.count_if(high)) / (F.count_if(bad) / F.count("*"))).alias("lift"))
+    middle = distribution.medians(o, {"bad": F.when(bad, F.col("v")), "good": F.when(~bad, F.col("v"))})
+    out = top.agg(F.round(F.lit(middle["bad"]), 4).alias("bad_median"), F.round(F.lit(middle["good"]), 4).alias("good_median"), (F.count_if(bad & high) / F.count_if(bad)).alias("recall"), ((F.count_if(bad & high) / F.count_if(high)) / (F.count_if(bad) / F.count("*"))).alias("lift"))
     return out.select("bad_median", "good_median", F.round("recall", 9).alias("recall"), F.round("lift", 9).alias("lift"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sarraf.functions import keys as K
 from sarraf.functions import periods as P
-from sarraf.operators import asof, rules, windows
+from sarraf.operators import asof, distribution, rules, windows
 from sarraf.plans.base import Registry
 from sarraf.sources.catalog import Lake
 
@@ -207,9 +207,9 @@ def a05_spread_and_slope(lake: Lake) -> DataFrame:
 
 @query("""SELECT nationality_class, grade, quantile_cont(CAST(base_salary AS double), 0.5) AS median, round(quantile_cont(CAST(base_salary AS double), 0.01), 4) AS p01, round(quantile_cont(CAST(base_salary AS double), 0.99), 4) AS p99 FROM employee_features WHERE base_salary IS NOT NULL GROUP BY ALL""")
 def a07_exact_percentiles(lake: Lake) -> DataFrame:
-    """A-07, A-09: exact median and interpolated percentiles of moderate groups."""
-    v = F.col("base_salary").cast("double")
-    return lake.employee_features.where("base_salary is not null").groupBy("nationality_class", "grade").agg(F.median(v).alias("median"), F.round(F.percentile(v, 0.01), 4).alias("p01"), F.round(F.percentile(v, 0.99), 4).alias("p99"))
+    """A-07, A-09: exact median and interpolated percentiles of groups of any size."""
+    found = distribution.percentiles(lake.employee_features, ["nationality_class", "grade"], "base_salary", {"median": 0.5, "p01": 0.01, "p99": 0.99})
+    return found.select("nationality_class", "grade", "median", F.round("p01", 4).alias("p01"), F.round("p99", 4).alias("p99"))
 
 
 @query("""SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type, max(value) AS most FROM events GROUP BY user_id""")
@@ -256,8 +256,7 @@ def w03_lag_lead(lake: Lake) -> DataFrame:
 @query("""SELECT employee_id, effective_from, grade FROM (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY effective_from DESC NULLS LAST, effective_to DESC NULLS LAST, grade DESC, org_unit_id DESC NULLS LAST) AS n FROM fact_assignment_history) WHERE n = 1""")
 def w02_latest_row(lake: Lake) -> DataFrame:
     """W-02: the latest row of each employee."""
-    down = [F.col(c).desc_nulls_last() for c in ("effective_from", "effective_to", "grade", "org_unit_id")]
-    return windows.latest_row(lake.fact_assignment_history, ["employee_id"], down).select("employee_id", "effective_from", "grade")
+    return windows.latest_row(lake.fact_assignment_history, ["employee_id"], ["effective_from", "effective_to", "grade", "org_unit_id"]).select("employee_id", "effective_from", "grade")
 
 
 @query("""WITH j AS (SELECT upper(trim(employee_id)) AS e, year(effective_from) * 12 + month(effective_from) AS m, min(grade) AS g, count(*) AS n FROM fact_assignment_history WHERE effective_from IS NOT NULL GROUP BY ALL)
@@ -282,7 +281,8 @@ def w08_cusum(lake: Lake) -> DataFrame:
 def w09_ranks(lake: Lake) -> DataFrame:
     """W-05, W-09, W-14 to W-16, A-22: relative ranks in a group."""
     w = Window.partitionBy("s_nationkey").orderBy("s_acctbal")
-    return lake.supplier.select("s_suppkey", "s_nationkey", F.round(F.percent_rank().over(w) * 100, 6).alias("pct"), F.round(windows.cumulative_rank("s_acctbal", "s_nationkey"), 6).alias("cume"), F.dense_rank().over(w).cast("long").alias("place"), F.count("*").over(Window.partitionBy("s_nationkey")).alias("peers"))
+    ranked = distribution.with_cumulative_rank(lake.supplier, "s_acctbal", "s_nationkey", "cume")
+    return ranked.select("s_suppkey", "s_nationkey", F.round(F.percent_rank().over(w) * 100, 6).alias("pct"), F.round("cume", 6).alias("cume"), F.dense_rank().over(w).cast("long").alias("place"), F.count("*").over(Window.partitionBy("s_nationkey")).alias("peers"))
 
 
 @query("""WITH m AS (SELECT employee_id AS e, period // 100 * 12 + period % 100 - 1 AS i, sum(CAST(overtime_pay AS double)) AS v FROM fact_payroll_monthly WHERE overtime_hours > 20 AND NOT isnan(overtime_hours) GROUP BY ALL), g AS (SELECT *, i - row_number() OVER (PARTITION BY e ORDER BY i) AS k FROM m)

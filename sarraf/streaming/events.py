@@ -45,22 +45,37 @@ def monthly_increments(stream: DataFrame, path: str, checkpoint: str, build):
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def changes(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """`key`, `order`, `old`, `new` whenever a key's value differs from the last one seen, kept as state per key."""
-    out = T.StructType([T.StructField(key, T.StringType()), T.StructField(order, T.LongType()), T.StructField("old", T.DoubleType()), T.StructField("new", T.DoubleType())])
+def changes(stream: DataFrame, key: str, order: str, value: str, forget_after: str | None = None) -> DataFrame:
+    """`key`, `order`, `old`, `new`, `late` whenever a key's value differs from the last one seen, kept as state per key.
+
+    The rows of a key in one batch are put in order together, however they arrive. A row not
+    after the last one seen is late: it changes no state and comes out with `late` true and
+    `old` null, so nothing is lost. Null and NaN are one value, equal to themselves. With
+    `forget_after` (such as `30 days`) the state of a key without rows for that long is dropped.
+    """
+    out = T.StructType([T.StructField(key, T.StringType()), T.StructField(order, T.LongType()), T.StructField("old", T.DoubleType()), T.StructField("new", T.DoubleType()), T.StructField("late", T.BooleanType())])
     state = T.StructType([T.StructField("last", T.DoubleType()), T.StructField("at", T.LongType())])
+    names = out.fieldNames()
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        last, at = held.get if held.exists else (None, -1)
-        for frame in frames:
-            found = []
-            for o, v in frame.sort_values(order)[[order, value]].itertuples(index=False):
-                if o > at:
-                    if last is not None and v != last:
-                        found.append((k[0], o, last, v))
-                    last, at = v, o
-            yield pd.DataFrame(found, columns=[key, order, "old", "new"])
+        if held.hasTimedOut:
+            held.remove()
+            return
+        last, at = held.get if held.exists else (None, None)
+        last, found = None if pd.isna(last) else last, []
+        for o, v in pd.concat(list(frames)).sort_values([order, value], kind="stable")[[order, value]].itertuples(index=False):
+            v = None if pd.isna(v) else float(v)
+            if at is not None and o <= at:
+                found.append((k[0], o, None, v, True))
+                continue
+            if at is not None and v != last:
+                found.append((k[0], o, last, v, False))
+            last, at = v, int(o)
         held.update((last, at))
+        if forget_after:
+            held.setTimeoutDuration(int(pd.Timedelta(forget_after).total_seconds() * 1000))
+        yield pd.DataFrame(found, columns=names).astype({"old": "float64", "new": "float64", "late": "bool"})
 
-    rows = stream.select(F.col(key).cast("string").alias(key), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col(key).cast("string").alias(key), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value)).where(F.col(order).isNotNull())
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
+    return rows.groupBy(key).applyInPandasWithState(step, out, state, "append", timeout)

@@ -59,9 +59,10 @@ def test_periods(spark):
 
 
 def test_similarities():
-    assert text.jaro_similarity("MARTHA", "MARHTA") == pytest.approx(0.944444, abs=1e-6)
-    assert text.jaro_winkler_similarity("MARTHA", "MARHTA") == pytest.approx(0.961111, abs=1e-6)
-    assert text.jaro_similarity("", "") == 1.0 and text.jaro_similarity("a", "") == 0.0
+    left, right = ["MARTHA", "DIXON", "", "a", "CRATE", "x" * 300, "JELLYFISH"], ["MARHTA", "DICKSONX", "", "", "TRACE", "x" * 299, "SMELLYFISH"]
+    assert text.jaro_similarities(left, right) == pytest.approx([0.944444, 0.766667, 1.0, 0.0, 0.733333, 0.998889, 0.896296], abs=1e-6)
+    assert text.jaro_winkler_similarities(left[:2], right[:2]) == pytest.approx([0.961111, 0.813333], abs=1e-6)
+    assert len(text.jaro_winkler_similarities([], [])) == 0
     assert text.latin_key(" José  d'Arc ") == "JOSE D ARC"
 
 
@@ -176,15 +177,20 @@ def test_monthly_increments_replace_months(spark, tmp_path):
 
 def test_changes_are_kept_across_batches(spark, tmp_path):
     schema = "k string, o long, v double"
-    parts = [[("a", 1, 5.0), ("a", 2, 5.0), ("b", 1, 1.0)], [("a", 3, 6.0), ("b", 2, 1.0)], [("a", 4, 6.0), ("b", 3, 2.0)]]
-    got = set()
-    for n, part in enumerate(parts):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = events.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame(part, schema).schema)
+    nan = float("nan")
+    parts = [
+        [[("a", 1, 5.0), ("a", 2, 5.0), ("b", 1, 1.0), ("n", 1, nan)]],
+        [[("a", 4, 7.0), ("b", 2, 1.0)], [("a", 3, 6.0), ("n", 2, nan), ("n", 3, None)]],  # two files of one batch, out of order
+        [[("a", 2, 9.0), ("a", 5, 7.0), ("b", 3, 2.0), ("n", 4, 1.0), ("n", None, 3.0)]],
+    ]
+    for files in parts:
+        for part in files:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = events.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
         run = events.changes(stream, "k", "o", "v").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
         run.awaitTermination(120)
-        got = {tuple(r) for r in spark.read.schema("k string, o long, old double, new double").parquet(f"{tmp_path}/out").collect()}
-    assert got == {("a", 3, 5.0, 6.0), ("b", 3, 1.0, 2.0)}
+    got = {tuple(r) for r in spark.read.schema("k string, o long, old double, new double, late boolean").parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", 3, 5.0, 6.0, False), ("a", 4, 6.0, 7.0, False), ("a", 2, None, 9.0, True), ("b", 3, 1.0, 2.0, False), ("n", 4, None, 1.0, False)}
 
 
 def test_cut_tables_are_released(spark):
