@@ -1,6 +1,7 @@
 """All queries of the core and their SQL."""
 
-from sarraf.plans import composite, problems, relational
+from sarraf.plans import composite, features, problems, relational
 
-QUERIES = {**problems.QUERIES, **relational.query.queries, **composite.query.queries}
-SQL = {**problems.SQL, **relational.query.sql, **composite.query.sql}
+_REGISTRIES = (relational.query, composite.query, features.query)
+QUERIES = {**problems.QUERIES, **{n: q for r in _REGISTRIES for n, q in r.queries.items()}}
+SQL = {**problems.SQL, **{n: s for r in _REGISTRIES for n, s in r.sql.items()}}
