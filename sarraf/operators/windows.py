@@ -39,19 +39,47 @@ def running_sum(value: Column, keys: list[str], order: str) -> Column:
     return F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def capacity_bands(rows: DataFrame, order: list[Column], score: str, bands: list[tuple[str, int, float]], rest: str) -> DataFrame:
-    """`band` of each row of a queue: the first bands take so many rows of at least a score each.
+def capacity_bands(rows: DataFrame, order: list[Column], score: str, bands: list[tuple[str, int | None, float]], rest: str, consumes: Column | None = None) -> DataFrame:
+    """`rows` with `place` and `band`: the first bands take so many rows (None: any number) of at least a score each.
 
-    The band of a row depends on its place in the queue alone, which is numbered over range
-    partitions: counts per partition are summed up, so no task sees the whole queue.
+    `order` starts with the score, downwards. A row for which `consumes` is false is banded like
+    any other but takes no slot. What a band leaves free goes to the next ones. The band of a
+    row follows from how many slots are taken before it, counted over range partitions.
     """
-    ranked = global_rank(rows, order, "place")
-    upto, band = 0, F.lit(rest)
-    for name, size, least in reversed(bands):
-        start = sum(s for _, s, _ in bands[: [b[0] for b in bands].index(name)])
-        upto = start + size
-        band = F.when((F.col("place") <= upto) & (F.col(score) >= least), name).otherwise(band)
-    return ranked.withColumn("band", band)
+    taken = F.lit(1) if consumes is None else F.coalesce(consumes, F.lit(False)).cast("int")
+    ranked = global_running(rows.withColumn("_taken", taken), order, {"place": F.lit(1), "_upto": F.col("_taken")})
+    ranked = ranked.withColumn("_before", F.col("_upto") - F.col("_taken"))
+    able = ranked.agg(*[F.coalesce(F.sum(F.when(F.col(score) >= least, F.col("_taken"))), F.lit(0)).alias(f"b{i}") for i, (_, _, least) in enumerate(bands)]).first()
+    full, conditions = 0, []
+    for i, (name, size, least) in enumerate(bands):
+        fits = F.col(score) >= least
+        conditions.append((name, fits if size is None else fits & (F.col("_before") - full < size)))
+        left = max(able[f"b{i}"] - full, 0)
+        full += left if size is None else min(size, left)
+    band = F.lit(rest)
+    for name, fits in reversed(conditions):
+        band = F.when(fits, name).otherwise(band)
+    return ranked.withColumn("band", band).drop("_taken", "_upto", "_before")
+
+
+def rank_within(rows: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """Row numbers from 1 in the order of each group, without a task ever holding a group."""
+    placed = global_rank(rows, [F.col(group), *order], "_place")
+    starts = placed.groupBy(group).agg(F.min("_place").alias("_start")).withColumnRenamed(group, "_group")
+    return placed.join(starts, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_place") - F.col("_start") + 1).drop("_place", "_start", "_group")
+
+
+def global_running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """`rows` with running sums in a total order, counted over range partitions."""
+    from sarraf.session import cut
+
+    parts = cut(rows.orderBy(*order).withColumns({**{n: c for n, c in sums.items()}, "_m": F.monotonically_increasing_id()})).withColumn("_p", F.shiftright("_m", 33))
+    totals = parts.groupBy("_p").agg(*[F.sum(n).alias(f"_t_{n}") for n in sums])
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = totals.select("_p", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = parts.join(F.broadcast(offsets), "_p")  # offsets: one row a partition
+    return joined.withColumns({n: F.sum(n).over(inside) + F.col(f"_o_{n}") for n in sums}).drop("_p", "_m", *[f"_o_{n}" for n in sums])
 
 
 def global_rank(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
