@@ -99,11 +99,14 @@ def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _net_totals(lake: Lake) -> DataFrame:
-    # exact repeats count once; over all columns, so that supplements add up and E00000000 stays spread
-    once = lake.fact_payroll_monthly.where(P.is_period("period")).withColumn("employee_id", norm_id("employee_id")).distinct()
-    rows = once.select(
-        "employee_id", P.month_index("period").alias("month"), F.when(F.col("paid_flag"), (F.col("net") * 100).cast("long")).alias("cents"),
-    )
+    # Exact repeats count once, supplements add up. Rows are told apart by 128 bits over all columns, so
+    # that only these and the cents are shuffled; E00000000 stays spread over its different rows.
+    rows = lake.fact_payroll_monthly.where(P.is_period("period")).withColumn("employee_id", norm_id("employee_id"))
+    nulls = [F.col(c).isNull() for c in rows.columns]  # a null leaves a hash as it is
+    mark = [F.xxhash64(F.lit(1), *rows.columns, *nulls).alias("_a"), F.xxhash64(*nulls, *rows.columns[::-1], F.lit(2)).alias("_b")]
+    cents = F.when(F.col("paid_flag"), (F.col("net") * 100).cast("long")).alias("cents")
+    rows = rows.select("employee_id", P.month_index("period").alias("month"), cents, *mark)
+    rows = rows.groupBy("employee_id", "month", "_a", "_b").agg(F.max("cents").alias("cents"))
     return rolling.rolling_totals(rows, "employee_id", "month", "cents", [3, 6, 12])
 
 
