@@ -21,7 +21,10 @@ def expected_amount(kind: str, *, amount=None, share=None, base: Column | None =
     `share` of `base`, at most `most`. `by_level`: the entry of `table` for `level`.
     """
     if kind == "fixed":
-        return _money(amount) if count is None else (_money(amount) * F.least(count.cast("int"), F.lit(most if most is not None else 2**31 - 1))).cast(_MONEY)
+        if count is None:
+            return _money(amount)
+        heads = F.least(count.cast("int"), F.lit(2**31 - 1 if most is None else most))
+        return F.when(count.isNotNull(), (_money(amount) * heads).cast(_MONEY))
     if kind == "share_of_base":
         part = F.round(base.cast(_MONEY) * F.lit(Decimal(str(share))), 2).cast(_MONEY)
         return part if most is None else F.when(part.isNotNull(), F.least(part, _money(most)))

@@ -40,3 +40,9 @@ def failed(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """`check`, `failed`: how many rows fail each identity; unknown counts as failed. One pass for all."""
     counts = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()])
     return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("failed")) for n in checks])))
+
+
+def outside(rows: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
+    """`field`, `outside`: how many values are outside their enumeration; null is no value. One pass for all."""
+    counts = rows.agg(*[F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*values)).alias(c) for c, values in allowed.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("outside")) for c in allowed])))

@@ -56,7 +56,7 @@ def _expected(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def isolation_forest(rows: DataFrame, key: str, columns: list[str], trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+def isolation_forest(rows: DataFrame, key: str, columns: list[str], trees: int = 300, sample: int = 256, seed: int = 42) -> DataFrame:
     """`key`, `isolation`: anomaly scores 0 to 1 of every row by an isolation forest.
 
     The forest is fitted on at most trees * sample rows, those of least hash, which is the
@@ -146,13 +146,166 @@ def percentile_ranks(rows: DataFrame, key: str, score: str, name: str) -> DataFr
     return ranked.crossJoin(F.broadcast(n)).withColumn(name, (F.col("_place") - 1) / F.col("_all") * 100).drop("_place", "_all")
 
 
-def median_substitution(model, row: list[float], medians: list[float]) -> np.ndarray:
-    """Additive attributions of a prediction: each feature put back to its median, scaled to add up to the difference."""
-    base = np.array(row, float)
-    tests = np.tile(base, (len(row) + 2, 1))
-    for i, m in enumerate(medians):
-        tests[i, i] = m
-    tests[-1] = medians
-    values = np.asarray(model(tests), float)
-    drops, whole = values[-2] - values[:-2], values[-2] - values[-1]
-    return drops * (whole / drops.sum()) if abs(drops.sum()) > 1e-12 else np.full(len(row), whole / max(len(row), 1))
+def flagged(scores: DataFrame, score: str, share: float, name: str) -> DataFrame:
+    """`scores` with `name`: whether a row's score is beyond the exact percentile that leaves `share` of the rows above it."""
+    at = distribution.percentiles(scores, [], score, {"_at": 1 - share}).select("_at")
+    return scores.crossJoin(F.broadcast(at)).withColumn(name, F.col(score) > F.col("_at")).drop("_at")  # one row
+
+
+def stable_sample(rows: DataFrame, key: str, columns: list[str], size: int, seed: int) -> np.ndarray:
+    """At most `size` rows as a matrix, those whose key has the least hash: the bounded sample a model is fitted on."""
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]
+    some = rows.select(F.col(key).cast("string").alias("_k"), *numbers).orderBy(F.xxhash64("_k", F.lit(seed)), "_k", *[f"c{i}" for i in range(len(columns))]).limit(size)
+    table = some.toArrow()
+    return np.stack([table.column(f"c{i}").to_numpy() for i in range(len(columns))], axis=1)
+
+
+def score_rows(rows: DataFrame, key: str, columns: list[str], model, names: list[str]) -> DataFrame:
+    """`key` and one number for each of `names`: `model` maps a matrix (rows by columns) to one of (rows by names), block by block over all rows."""
+    numbers = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = model(np.stack([batch.column(1 + i).to_numpy() for i in range(len(columns))], axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, i].astype(np.float64)) for i in range(len(names))]], names=[key, *names])
+
+    schema = T.StructType([rows.schema[key], *[T.StructField(n, T.DoubleType()) for n in names]])
+    return rows.select(F.col(key), *numbers).mapInArrow(score, schema)
+
+
+class BoostedTrees:
+    """Least-squares gradient boosting over binned values: depth-wise trees, a least leaf, shrinkage and an L2 term."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, iterations: int = 300, rate: float = 0.08, depth: int = 6, least: int = 40, l2: float = 1.0, bins: int = 64):
+        self.start = float(y.mean()) if len(y) else 0.0
+        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
+        self.depth, self.trees = depth, []
+        binned, guess = self._binned(x), np.full(len(y), self.start)
+        for _ in range(iterations if len(y) else 0):
+            tree, leaf = self._grow(binned, y - guess, least, l2, rate, bins)
+            self.trees.append(tree)
+            guess += tree[2][leaf]
+
+    def _binned(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1)
+
+    def _grow(self, binned, rest, least, l2, rate, bins):
+        """(feature, bin) of the inner nodes in heap order, the values of the leaves, and the leaf of each row."""
+        inner = 2**self.depth - 1
+        feature, cut_at = np.full(inner, -1), np.zeros(inner, np.int64)
+        node = np.zeros(len(rest), np.int64)  # within the level
+        for level in range(self.depth):
+            width, best = 2**level, np.full(2**level, 1e-12)
+            for j in range(binned.shape[1]):
+                cells = node * bins + binned[:, j]
+                total = np.bincount(cells, rest, minlength=width * bins).reshape(width, bins).cumsum(axis=1)
+                count = np.bincount(cells, minlength=width * bins).reshape(width, bins).cumsum(axis=1)
+                all_t, all_n = total[:, -1:], count[:, -1:]
+                gain = total**2 / (count + l2) + (all_t - total) ** 2 / (all_n - count + l2) - all_t**2 / (all_n + l2)
+                gain[(count < least) | (all_n - count < least)] = 0
+                at = gain.argmax(axis=1)
+                better = gain[np.arange(width), at] > best
+                best = np.where(better, gain[np.arange(width), at], best)
+                feature[width - 1 : 2 * width - 1][better] = j
+                cut_at[width - 1 : 2 * width - 1][better] = at[better]
+            node = node * 2 + self._right(feature, cut_at, width - 1 + node, binned)
+        total, count = (np.bincount(node, w, minlength=2**self.depth) for w in (rest, np.ones(len(rest))))
+        return (feature, cut_at, rate * total / (count + l2)), node
+
+    @staticmethod
+    def _right(feature, cut_at, heap, binned):
+        f = feature[heap]
+        return ((f >= 0) & (binned[np.arange(len(heap)), np.maximum(f, 0)] > cut_at[heap])).astype(np.int64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        binned, guess = self._binned(x), np.full(len(x), self.start)
+        for feature, cut_at, leaves in self.trees:
+            node = np.zeros(len(x), np.int64)
+            for level in range(self.depth):
+                node = node * 2 + self._right(feature, cut_at, 2**level - 1 + node, binned)
+            guess += leaves[node]
+        return guess
+
+
+def boosted_expectation(rows: DataFrame, key: str, columns: list[str], target: str, sample: int = 20_000, seed: int = 42, **shape) -> tuple[DataFrame, BoostedTrees]:
+    """(`key`, `expected` of every row, the model): boosted trees fitted on at most `sample` rows, those of least hash."""
+    some = stable_sample(rows, key, [*columns, target], sample, seed)
+    model = BoostedTrees(some[:, :-1], some[:, -1], **shape)
+    return score_rows(rows, key, columns, lambda x: model(x)[:, None], ["expected"]), model
+
+
+def substitutions(rows: DataFrame, key: str, columns: list[str], model, medians: list[float]) -> DataFrame:
+    """`key`, `prediction`, `base` and one column a feature: additive contributions of each feature to what sets a prediction apart.
+
+    Each feature in turn is put back to its median; the drops are scaled to add up to the
+    whole difference from the prediction at all medians, or share it evenly where they cancel.
+    """
+
+    def explain(x: np.ndarray) -> np.ndarray:
+        here, base = model(x), model(np.tile(np.array(medians, float), (len(x), 1)))
+        drops = np.empty(x.shape)
+        for j, m in enumerate(medians):
+            put_back = x.copy()
+            put_back[:, j] = m
+            drops[:, j] = here - model(put_back)
+        total, whole = drops.sum(axis=1), here - base
+        flat = np.abs(total) < 1e-9
+        scaled = np.where(flat[:, None], whole[:, None] / max(len(medians), 1), drops * (whole / np.where(flat, 1.0, total))[:, None])
+        return np.column_stack([here, base, scaled])
+
+    return score_rows(rows, key, columns, explain, ["prediction", "base", *columns])
+
+
+def additivity(explained: DataFrame, columns: list[str], tolerance: float) -> DataFrame:
+    """`rows`, `largest`, `beyond`: how far contributions are from adding up to prediction less base, in one aggregation."""
+    off = F.abs(F.col("prediction") - F.col("base") - sum((F.col(c) for c in columns[1:]), F.col(columns[0])))
+    return explained.agg(F.count("*").alias("rows"), F.max(off).alias("largest"), F.count_if(off > tolerance).alias("beyond"))
+
+
+class DenoisingAutoencoder:
+    """A network that learns to restore rows from rows with noise: layers down to a narrow code and up again, fitted by Adam."""
+
+    def __init__(self, x: np.ndarray, widths: tuple[int, ...] = (128, 64, 24), noise: float = 0.15, epochs: int = 60, batch: int = 256, rate: float = 1e-3, seed: int = 42):
+        rng = np.random.default_rng(seed)
+        sizes = [x.shape[1], *widths, *widths[-2::-1], x.shape[1]]
+        self.weights = [rng.standard_normal((a, b)) * math.sqrt(2 / max(a, 1)) for a, b in zip(sizes, sizes[1:])]
+        self.biases = [np.zeros(b) for b in sizes[1:]]
+        parameters = [*self.weights, *self.biases]
+        first, second, step = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters], 0
+        for _ in range(epochs if len(x) else 0):
+            order = rng.permutation(len(x))
+            for at in range(0, len(x), batch):
+                clean = x[order[at : at + batch]]
+                layers = self._layers(clean + noise * rng.standard_normal(clean.shape))
+                slope = 2 * (layers[-1] - clean) / clean.size
+                grads_w, grads_b = [], []
+                for k in range(len(self.weights) - 1, -1, -1):
+                    grads_w.append(layers[k].T @ slope)
+                    grads_b.append(slope.sum(axis=0))
+                    slope = (slope @ self.weights[k].T) * (layers[k] > 0)
+                step += 1
+                for p, g, m, v in zip(parameters, [*grads_w[::-1], *grads_b[::-1]], first, second):
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+
+    def _layers(self, x: np.ndarray) -> list[np.ndarray]:
+        layers = [x]
+        for k, (w, b) in enumerate(zip(self.weights, self.biases)):
+            z = layers[-1] @ w + b
+            layers.append(z if k == len(self.weights) - 1 else np.maximum(z, 0))
+        return layers
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self._layers(x)[-1]
+
+
+def autoencoder_gap(rows: DataFrame, key: str, columns: list[str], sample: int = 8192, seed: int = 42, **shape) -> DataFrame:
+    """`key`, `gap`, `gaps`, `signed` as of `reconstruction_gap`, from a denoising autoencoder fitted on at most `sample` rows of least hash; every row is scored."""
+    clipped = lambda x: np.clip(x, -8, 8)
+    model = DenoisingAutoencoder(clipped(stable_sample(rows, key, columns, sample, seed)), seed=seed, **shape)
+    names = [f"_s{i}" for i in range(len(columns))]
+    found = score_rows(rows, key, columns, lambda x: x - model(clipped(x)), names)
+    squares = F.array(*[F.col(n) * F.col(n) for n in names])
+    return found.select(key, F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, b: a + b)).alias("gap"), squares.alias("gaps"), F.array(*names).alias("signed"))

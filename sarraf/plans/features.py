@@ -71,7 +71,7 @@ def fb0_as_at(lake: Lake) -> DataFrame:
     return as_at(lake).join(units, "org", "left").select(F.col("e").alias("employee_id"), "period", F.col("i").alias("period_index"), "from_history", "grade", F.col("org").alias("org_unit_id"), F.col("manager").alias("manager_id"), "site_id")
 
 
-@query(f"""WITH {_MONTHS}, x AS (SELECT *, least(CAST(round(CAST(base AS decimal(14,2)) * 0.25, 2) AS decimal(14,2)), 6000) AS want FROM pm)
+@query(f"""WITH {_MONTHS}, x AS (SELECT *, CASE WHEN base IS NOT NULL THEN least(CAST(round(CAST(base AS decimal(14,2)) * 0.25, 2) AS decimal(14,2)), 6000) END AS want FROM pm)
 SELECT e AS employee_id, period, overtime AS overtime_amount, bonus AS bonus_amount, allowance AS allowance_amount, (coalesce(overtime, 0) > 0)::INT + (coalesce(bonus, 0) > 0)::INT + (coalesce(allowance, 0) > 0)::INT AS positive_codes,
 CAST(want AS double) AS expected_allowance, coalesce(want > 0 AND abs(allowance - CAST(want AS double)) > 1.00, FALSE) AS off_expected FROM x""")
 def fb1_amounts(lake: Lake) -> DataFrame:

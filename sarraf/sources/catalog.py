@@ -42,18 +42,20 @@ class Lake:
         except KeyError as missing:
             raise AttributeError(str(missing)) from None
 
-    def register(self, *names: str) -> None:
-        """Temporary views of the given tables, or of all that exist."""
-        for name in names or self.tables:
-            try:
-                self.table(name).createOrReplaceTempView(name)
-            except Exception:
-                if names:
-                    raise
+    def exists(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
+    def register(self, *names: str, prefix: str = "") -> list[str]:
+        """Temporary views of the given tables, or of all that exist; their names. A given table that can't be read raises."""
+        kept = names or [n for n in self.tables if self.exists(n)]
+        for name in kept:
+            self.table(name).createOrReplaceTempView(f"{prefix}{name}")
+        return [f"{prefix}{n}" for n in kept]
 
-def isolated(spark: SparkSession, folder: str, tables: tuple[str, ...]) -> Lake:
+
+def isolated(spark: SparkSession, folder: str, tables: tuple[str, ...], prefix: str = "") -> Lake:
     """A lake of tables that only an evaluation may see: views of its own session, not of the caller's."""
     lake = Lake(spark.newSession(), folder, tables)
-    lake.register()
+    lake.register(prefix=prefix)
     return lake

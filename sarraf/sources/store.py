@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_by_period(rows: DataFrame, path: str, period: str = "period", rows_per_file: int = 5_000_000, replace: bool = True) -> None:
+def write_by_period(rows: DataFrame, path: str, period: str = "period", rows_per_file: int = 5_000_000, replace: bool = True, files_per_period: int | None = None) -> None:
     """Write month partitions; the month stays a column of the files. With `replace`, only the months in `rows` are replaced.
 
-    Rows of one month are first spread by hash over as many tasks as Spark deems right, so a
-    large month has several files and no task writes all months.
+    Rows of one month are first spread by hash over `files_per_period` tasks, or else over as
+    many as AQE finds right for its size, so a large month has several files.
     """
-    spread = rows.withColumn("period_part", F.col(period)).repartition("period_part", F.pmod(F.xxhash64(*rows.columns[:3]), F.lit(8)))
+    spread = rows.withColumn("period_part", F.col(period))
+    if files_per_period is None:
+        spread = spread.hint("rebalance", "period_part")
+    else:
+        spread = spread.repartition("period_part", F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_period)))
     writer = spread.write.partitionBy("period_part").option("maxRecordsPerFile", rows_per_file).option("compression", "zstd")
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic" if replace else "static").parquet(path)
 
@@ -110,4 +114,33 @@ def row_digest(rows: DataFrame) -> str:
     return hashlib.sha256(f"{r['n']}|{r['s']}|{r['x']}".encode()).hexdigest()
 
 
+def keyed_copy(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """A copy of `rows` ordered by `key` over range partitions: a look-up of few keys reads few row groups, as with an index."""
+    rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
+
+def apply_versions(current: DataFrame, changes: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(table after the changes, rejected changes): a change holds only if it was made against the version that is current.
+
+    `current` has `key`, `value`, `version`; `changes` has `key`, `value`, `based_on`. Of several
+    changes of one key on one version the smallest value counts, the others are rejected.
+    """
+    one = changes.groupBy(key, "based_on").agg(F.min(value).alias("_new"))
+    marked = current.join(one.withColumnRenamed("based_on", "version"), [key, "version"], "left")
+    taken = F.col("_new").isNotNull()
+    after = marked.select(key, F.when(taken, F.col("_new")).otherwise(F.col(value)).alias(value), (F.col("version") + taken.cast("int")).alias("version"))
+    first = marked.where(taken).select(key, F.col("version").alias("based_on"), F.col("_new").alias(value))
+    return after, changes.select(key, "based_on", value).exceptAll(first)
+
+
+def markdown(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
+    """A report of small tables as Markdown; each shows at most `most` rows and says if there are more."""
+    lines = [f"# {title}"]
+    for name, rows in tables.items():
+        found = rows.limit(most + 1).collect()
+        lines += ["", f"## {name}", "", "| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
+        lines += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in found[:most]]
+        if len(found) > most:
+            lines.append(f"(the first {most} rows)")
+    return "\n".join(lines) + "\n"

@@ -101,41 +101,40 @@ def test_reconstruction_gap_equals_numpy(spark):
     assert all(got[i][0] == pytest.approx(gaps[i], abs=1e-6) for i in range(200)) and int(np.argmax(gaps)) == 7
 
 
-def test_substitution_adds_up():
-    parts = ml.median_substitution(lambda m: m @ np.array([2.0, 3.0]), [5.0, 1.0], [1.0, 1.0])
-    assert parts.tolist() == [8.0, 0.0]
-
-
-def test_months_are_replaced_one_by_one(spark, tmp_path):
-    path = f"file://{tmp_path}/t"
-    frame = lambda rows: spark.createDataFrame(rows, "period int, k string, v int")
-    store.write_by_period(frame([(202401, "a", 1), (202402, "a", 2)]), path)
-    before = store.signatures(spark, path)
-    store.write_by_period(frame([(202402, "a", 9)]), path)
-    after = store.signatures(spark, path)
-    assert store.stale(after, before) == ["period_part=202402"] and store.stale(after, before, "x", "y") == sorted(after)
-    assert sorted(tuple(r) for r in store.read_by_period(spark, path).collect()) == [(202401, "a", 1), (202402, "a", 9)]
-    assert [tuple(r) for r in store.read_by_period(spark, path, first=202402).collect()] == [(202402, "a", 9)]
-
-
-def test_stages_registry_and_edits(spark, tmp_path):
-    made = []
-
-    def build():
-        made.append(1)
-        return spark.range(3)
-
-    for inputs in ({"a": 1}, {"a": 1}, {"a": 2}):
-        assert store.cached_stage(spark, f"file://{tmp_path}", "s", inputs, build).count() == 3
-    assert len(made) == 2
-    none = spark.createDataFrame([], "k string, number long, id string")
-    first = store.register_ids(none, spark.createDataFrame([("b",), ("a",)], "k string"), ["k"])
-    second = store.register_ids(first, spark.createDataFrame([("b",), ("aa",)], "k string"), ["k"])
-    assert {tuple(r) for r in second.collect()} == {("a", 1, "ALT-000001"), ("b", 2, "ALT-000002"), ("aa", 3, "ALT-000003")}
-    rows = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
-    edited = store.merge_edits(rows, ["k"], rows.where("k = 1"), spark.createDataFrame([(2, "p"), (3, None)], "k int, v string"), spark.createDataFrame([(4, "q")], "k int, v string"))
-    assert sorted(tuple(r) for r in edited.collect()) == [(2, "p"), (3, "z"), (4, "q")]
-    assert store.row_digest(rows) == store.row_digest(rows.orderBy(F.desc("k"))) != store.row_digest(edited)
+def test_substitutions_add_up(spark):
+    rng = np.random.default_rng(3)
+    frame = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(50, 2)))] + [(99, 1.0, 1.0), (98, None, None)], "k long, a double, b double")
+    model = lambda m: 2 * m[:, 0] + 3 * m[:, 1] + m[:, 0] * m[:, 1]
+    told = ml.substitutions(frame, "k", ["a", "b"], model, [1.0, 1.0])
+    check = ml.additivity(told, ["a", "b"], 1e-6).first()
+    assert check["rows"] == 52 and check["beyond"] == 0
+    at_median = told.where("k = 99").first()
+    assert (at_median["a"], at_median["b"], at_median["prediction"]) == (0.0, 0.0, 6.0)
+
+
+def test_boosted_trees_learn_steps_and_keep_leaves(spark):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(0, 10, size=(3000, 2))
+    y = np.where(x[:, 0] > 5, 100.0, 10.0) + 20 * (x[:, 1] > 2)
+    model = ml.BoostedTrees(x, y, iterations=60)
+    assert np.abs(model(x) - y).mean() < 2
+    small = ml.BoostedTrees(x[:60], y[:60], iterations=10)  # no split leaves forty on both sides
+    assert len(set(small(x).tolist())) == 1
+    frame = spark.createDataFrame([(i, float(a), float(b), float(t)) for i, ((a, b), t) in enumerate(zip(x[:400], y[:400]))], "k long, a double, b double, t double")
+    found, _ = ml.boosted_expectation(frame, "k", ["a", "b"], "t", iterations=40, least=10)
+    assert found.count() == 400 and np.mean([abs(r["expected"] - y[r["k"]]) for r in found.collect()]) < 8
+    assert ml.boosted_expectation(frame.limit(0), "k", ["a", "b"], "t")[0].count() == 0
+
+
+def test_autoencoder_gap_is_greatest_for_strange_rows(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(400, 1))
+    rows = np.column_stack([base, base + 0.05 * rng.normal(size=(400, 1)), -base])
+    data = [(i, *map(float, r)) for i, r in enumerate(rows)] + [(900, 3.0, -3.0, 3.0)]
+    found = ml.autoencoder_gap(spark.createDataFrame(data, "k long, a double, b double, c double"), "k", ["a", "b", "c"], widths=(16, 8, 1), epochs=40, batch=64)
+    got = {r["k"]: r["gap"] for r in found.collect()}
+    assert len(got) == 401 and max(got, key=got.get) == 900
+    assert ml.flagged(found, "gap", 0.025, "odd").where("odd").count() == 10
 
 
 def test_catalog_and_schema(spark):
