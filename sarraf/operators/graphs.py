@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarraf.session import cut, drop
+from sarraf.session import cut, cut_counting, drop
 
 
 def chain(links: DataFrame, node: str, parent: str, most: int = 30) -> DataFrame:
@@ -80,10 +80,10 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
         told = both.select(F.inline(F.array(F.struct("node", "_n"), F.struct(F.col("component").alias("node"), "_n")))).groupBy("node").agg(F.min("_n").alias("_n"))
         onward = labels.select(F.col("node").alias("_n"), F.col("component").alias("_f"))
         moved = told.join(onward, "_n", "left").select("node", F.least("_n", "_f").alias("_n"))
-        last, state = state, cut(labels.join(moved, "node").select("node", "component", "_n"))
+        last, (state, moving) = state, cut_counting(labels.join(moved, "node").select("node", "component", "_n"), F.col("_n") < F.col("component"))
         drop(last)
         labels = state.select("node", F.least("component", "_n").alias("component"))
-        if state.where("_n < component").isEmpty():
+        if not moving:
             return labels
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sarraf.session import cut, drop
+from sarraf.session import cut, cut_counting, drop
 
 _SCHEMA = "node string, ext string, off long, tag string, on_cycle boolean"
 
@@ -94,22 +94,21 @@ def resolve(links: DataFrame, links_per_task: int = 1_000_000) -> DataFrame:
     that each takes about `links_per_task` links.
     """
     base = cut(links.select("node", F.col("parent").alias("ext"), F.lit(1).cast("long").alias("off"), F.lit(None).cast("string").alias("tag"), F.lit(False).alias("on_cycle")))
-    levels, current = [base], cut(_needed(base))
-    nodes = left = current.count()
+    levels = [base]
+    current, left = cut_counting(_needed(base))
+    nodes = left
     while left:
         combined = cut(current.repartition(-(-left // links_per_task), "node").mapInArrow(_combine, _SCHEMA))
         levels.append(combined)
         drop(current)
-        current = cut(_needed(combined))
-        remaining = current.count()
+        current, remaining = cut_counting(_needed(combined))
         if remaining > 0.9 * left:
             doubled = _double(combined)
             endless = F.col("off") > nodes  # more links than nodes: the target lies on a cycle
             doubled = cut(doubled.withColumn("tag", F.when(endless, F.coalesce("tag", "ext")).otherwise(F.col("tag"))).withColumn("ext", F.when(~endless, F.col("ext"))))
             levels[-1] = doubled
             drop(combined, current)
-            current = cut(_needed(doubled))
-            remaining = current.count()
+            current, remaining = cut_counting(_needed(doubled))
         left = remaining
     shape = ("node", F.col("ext").alias("root"), F.col("off").alias("depth"), "tag", "on_cycle")
     # Nodes found in cycles of one partition have left the levels above, which still point to them.
@@ -185,10 +184,10 @@ def _least_on_cycle(members: DataFrame) -> DataFrame:
     last = state = cut(members.select("node", F.col("parent").alias("next"), F.least("node", "parent").alias("least")))
     while True:
         ahead = state.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("least").alias("_least"))
-        both = cut(state.join(ahead, "next").select("node", F.col("_next").alias("next"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("_new")))
+        both, moving = cut_counting(state.join(ahead, "next").select("node", F.col("_next").alias("next"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("_new")), F.col("_new"))
         drop(last)
         last, state = both, both.drop("_new")
-        if both.where("_new").isEmpty():
+        if not moving:
             return state.select("node", "least")
 
 
@@ -201,11 +200,11 @@ def paths(links: DataFrame, node: str, parent: str, found: DataFrame) -> DataFra
     """
     index = links.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
     kept = cut(found.select(F.col(node).alias("node"), "root_id", "depth", "kind"))
-    state = cut(kept.join(index, "node").select("node", F.array("node").alias("path"), F.when(F.col("depth") > 0, F.col("parent")).alias("at")))
-    while not state.where("at is not null").isEmpty():
+    state, open_ends = cut_counting(kept.join(index, "node").select("node", F.array("node").alias("path"), F.when(F.col("depth") > 0, F.col("parent")).alias("at")), F.col("at").isNotNull())
+    while open_ends:
         ahead = state.select(F.col("node").alias("at"), F.col("path").alias("_path"), F.col("at").alias("_at"))
         moved = state.where("at is not null").join(ahead, "at").select("node", F.concat("_path", "path").alias("path"), F.col("_at").alias("at"))
-        last, state = state, cut(moved.unionByName(state.where("at is null")))
+        last, (state, open_ends) = state, cut_counting(moved.unionByName(state.where("at is null")), F.col("at").isNotNull())
         drop(last)
     return kept.join(state.select("node", "path"), "node").withColumnRenamed("node", node).select(node, "root_id", "depth", "kind", "path")
 
