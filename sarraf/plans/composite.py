@@ -142,7 +142,11 @@ p AS (SELECT a.component_id, a.e, b.e AS o, jaro_winkler_similarity(x.name, y.na
 
 @query(_CLOSE + " SELECT component_id, e AS employee_id, arg_max(o, (round(s, 9), o)) AS closest, round(max(s), 6) AS similarity FROM p GROUP BY ALL")
 def r06_closest(lake: Lake) -> DataFrame:
-    """R-05, R-06, F-07, UDF-01: the most similar name within small match groups, ties to the greatest id."""
+    """R-06, F-07, UDF-01: the most similar name within a match group, ties to the greatest id.
+
+    Every member is compared with every other, so a group of n costs n squared: match groups are
+    the records of one case, and no bound on similarity prunes the way a metric would.
+    """
     m = lake.graph_components.select("component_id", K.norm_id("employee_id").alias("e")).where("component_id is not null and e is not null").distinct()
     n = lake.employee_master.where("name_en_normalised is not null").groupBy(K.norm_id("employee_id").alias("e")).agg(F.max("name_en_normalised").alias("name"))
     a = m.join(n, "e")
@@ -432,14 +436,19 @@ def a15_filtered_sets(lake: Lake) -> DataFrame:
 x AS (SELECT m.component_id, m.e, d.dob, upper(trim(d.s)) AS s FROM m LEFT JOIN d USING (e)), p AS (SELECT a.component_id, coalesce(a.s = b.e AND b.s = a.e, FALSE) AS couple, coalesce(a.dob = b.dob, FALSE) AS born FROM x a JOIN x b ON a.component_id = b.component_id AND a.e < b.e)
 SELECT component_id, CASE WHEN bool_and(couple) THEN 'couple' WHEN bool_and(born) THEN 'same_birth' ELSE 'unrelated' END AS kind, count(*) AS pairs FROM p GROUP BY component_id""")
 def r05_classes(lake: Lake) -> DataFrame:
-    """R-05: match groups classed by what all their pairs have in common; such groups are small by nature."""
+    """R-05: match groups classed by what all their pairs have in common, told from counts without a pair.
+
+    All pairs are born alike if there is one birth date and none is missing; all are couples only
+    if there are two members, each the other's.
+    """
     m = lake.graph_components.select("component_id", K.norm_id("employee_id").alias("e")).where("component_id is not null and e is not null").distinct()
     d = lake.employee_master.groupBy(K.norm_id("employee_id").alias("e")).agg(F.max("dob").alias("dob"), K.norm_id(F.max("spouse_employee_id")).alias("s"))
-    x = m.join(d, "e", "left")
-    pairs = x.join(x.withColumnsRenamed({"e": "e2", "dob": "dob2", "s": "s2"}), "component_id").where("e < e2")
-    couple = F.coalesce((F.col("s") == F.col("e2")) & (F.col("s2") == F.col("e")), F.lit(False))
-    kinds = pairs.groupBy("component_id").agg(F.bool_and(couple).alias("c"), F.bool_and(F.coalesce(F.col("dob") == F.col("dob2"), F.lit(False))).alias("b"), F.count("*").alias("pairs"))
-    return kinds.select("component_id", F.when(F.col("c"), "couple").when(F.col("b"), "same_birth").otherwise("unrelated").alias("kind"), "pairs")
+    groups = m.join(d, "e", "left").groupBy("component_id").agg(
+        F.count("*").alias("n"), F.min("dob").alias("first"), F.max("dob").alias("last"), F.count("dob").alias("dated"),
+        F.min(F.struct("e", "s")).alias("a"), F.max(F.struct("e", "s")).alias("b"))
+    couple = F.coalesce((F.col("n") == 2) & (F.col("a.s") == F.col("b.e")) & (F.col("b.s") == F.col("a.e")), F.lit(False))
+    born = F.coalesce((F.col("dated") == F.col("n")) & (F.col("first") == F.col("last")), F.lit(False))
+    return groups.where("n > 1").select("component_id", F.when(couple, "couple").when(born, "same_birth").otherwise("unrelated").alias("kind"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
 
 
 @query(_FINDINGS + """, d AS (SELECT user_id, event_type AS layer, max(ts) AS dismissed_at, round(sum(value) / 40, 2) AS impact_then FROM events WHERE user_id % 5 = 0 GROUP BY ALL), s AS (SELECT user_id, layer, sum(impact) AS impact FROM r GROUP BY ALL)

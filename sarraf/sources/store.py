@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+import resource
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,3 +147,27 @@ def markdown(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
         if len(found) > most:
             lines.append(f"(the first {most} rows)")
     return "\n".join(lines) + "\n"
+
+
+class Profile:
+    """Seconds and peak memory of the driver's process by stage, merged into a manifest: `with profile.stage("features"): ...`."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.stages = spark, path, {}
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            took = time.monotonic() - began
+            before = self.stages.get(name, {"seconds": 0.0, "runs": 0})
+            peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+            self.stages[name] = {"seconds": round(before["seconds"] + took, 3), "runs": before["runs"] + 1, "peak_mb": peak}
+
+    def merge(self) -> dict:
+        """Write the stages over those of earlier runs that have the same names; the merged manifest."""
+        merged = read_json(self.spark, self.path) | self.stages
+        write_json(self.spark, self.path, merged)
+        return merged

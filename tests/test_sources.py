@@ -118,3 +118,16 @@ def test_calendars_ids_and_amounts(spark):
 def test_values_outside_enumerations(spark):
     frame = spark.createDataFrame([("a",), ("b",), (None,), ("c",)], "v string")
     assert [tuple(r) for r in integrity.outside(frame, {"v": ["a"]}).collect()] == [("v", 2)]
+
+
+def test_profiles_are_merged_by_stage(spark, tmp_path):
+    for names in (("a", "b"), ("b", "b", "c")):
+        profile = store.Profile(spark, f"file://{tmp_path}/profile.json")
+        for name in names:
+            with profile.stage(name):
+                spark.range(3).count()
+        merged = profile.merge()
+    assert {n: s["runs"] for n, s in merged.items()} == {"a": 1, "b": 2, "c": 1} and all(s["peak_mb"] > 0 and s["seconds"] >= 0 for s in merged.values())
+    with pytest.raises(ZeroDivisionError), profile.stage("d"):
+        1 / 0
+    assert profile.stages["d"]["runs"] == 1
