@@ -16,23 +16,33 @@ from pyspark.sql import functions as F
 from sarraf.functions.periods import month_index, period_of_index
 from sarraf.operators.windows import collapse_runs
 
-_CLAUSE = re.compile(r"^\s*(\w+)\s*(==|!=|>=|<=|>|<|not\s+in|in)\s*(.+?)\s*$")
+_CLAUSE = re.compile(r"^\s*(\w+(?:\.\w+)*)\s*(==|!=|>=|<=|>|<|not\s+in|in)\s*(.+?)\s*$")
 _FIELD = re.compile(r"\{(\w+)(?::([^}]*))?\}")
 
 
-def clause(text: str) -> Column:
-    """`<field> <op> <literal>` as a Column that is false, never null, where the field is null."""
+def clause(text: str, columns: list[str] = ()) -> Column:
+    """`<field> <op> <literal>` as a Column that is false, never null, where the field is null.
+
+    A dotted field is the column of that name where `columns` has one, else a field of a
+    struct. No field equals the literal `null`, every field that has a value differs from it,
+    and nothing can be ordered against it. `in` and `not in` need a list.
+    """
     found = _CLAUSE.match(text)
     if not found:
         raise ValueError(f"not a clause: {text!r}")
     name, op, literal = found.groups()
-    if op in ("in", "not in") or op.startswith("not"):
-        inner = literal.strip("[]() ")
-        hit = F.col(name).isin(*[_literal(x.strip()) for x in inner.split(",") if x.strip()])
+    c = F.col(f"`{name}`" if name in columns else name)
+    if op.endswith("in"):
+        if literal[0] not in "[(" or literal[-1] not in "])":
+            raise ValueError(f"{op} needs a list: {text!r}")
+        hit = c.isin(*[_literal(x.strip()) for x in literal.strip("[]() ").split(",") if x.strip()])
         test = ~hit if op.startswith("not") else hit
+    elif literal == "null":
+        if op not in ("==", "!="):
+            raise ValueError(f"null has no order: {text!r}")
+        test = c.isNotNull() & F.lit(op == "!=")
     else:
         value = _literal(literal)
-        c = F.col(name)
         test = {"==": c == value, "!=": c != value, ">=": c >= value, "<=": c <= value, ">": c > value, "<": c < value}[op]
     return F.coalesce(test, F.lit(False))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sarraf.functions import calendar as C
 from sarraf.functions.amounts import expected_amount
-from sarraf.operators import evidence, integrity, windows
+from sarraf.operators import evidence, integrity, rules, windows
 from sarraf.sources import packs, store, templates
 
 
@@ -131,3 +131,13 @@ def test_profiles_are_merged_by_stage(spark, tmp_path):
     with pytest.raises(ZeroDivisionError), profile.stage("d"):
         1 / 0
     assert profile.stages["d"]["runs"] == 1
+
+
+def test_clauses_with_dots_and_null(spark):
+    rows = spark.createDataFrame([(1, ("x", 3), 7), (2, (None, 5), None)], "k int, s struct<a:string,b:int>, `t.u` int")
+    tests = {"s.b >= 4": [2], "s.a == null": [], "s.a != null": [1], "t.u != null": [1], "t.u not in [8, 9]": [1], "s.a in [x, y]": [1], "t.u == 7": [1]}
+    for text, want in tests.items():
+        assert [r["k"] for r in rows.where(rules.clause(text, rows.columns)).orderBy("k").collect()] == want, text
+    for bad in ("s.b > null", "s.b in 4", "s..b == 1", "== 1", "k ~ 1"):
+        with pytest.raises(ValueError):
+            rules.clause(bad)
