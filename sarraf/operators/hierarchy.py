@@ -203,7 +203,8 @@ def paths(links: DataFrame, node: str, parent: str, found: DataFrame) -> DataFra
     state, open_ends = cut_counting(kept.join(index, "node").select("node", F.array("node").alias("path"), F.when(F.col("depth") > 0, F.col("parent")).alias("at")), F.col("at").isNotNull())
     while open_ends:
         ahead = state.select(F.col("node").alias("at"), F.col("path").alias("_path"), F.col("at").alias("_at"))
-        moved = state.where("at is not null").join(ahead, "at").select("node", F.concat("_path", "path").alias("path"), F.col("_at").alias("at"))
+        # An ancestor without a row of its own is a root, and its chain itself.
+        moved = state.where("at is not null").join(ahead, "at", "left").select("node", F.concat(F.coalesce("_path", F.array("at")), "path").alias("path"), F.col("_at").alias("at"))
         last, (state, open_ends) = state, cut_counting(moved.unionByName(state.where("at is null")), F.col("at").isNotNull())
         drop(last)
     return kept.join(state.select("node", "path"), "node").withColumnRenamed("node", node).select(node, "root_id", "depth", "kind", "path")

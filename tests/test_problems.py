@@ -160,3 +160,10 @@ def test_rolling_is_exact_beyond_doubles(spark):
 def test_band_operator():
     b = rolling.band(3, 2, 2)
     assert np.array_equal(np.array([[1, 2, 3, 4, 5]]) @ b, [[5, 7, 9]])
+
+
+def test_paths_begin_with_roots_that_have_no_row(spark):
+    links = spark.createDataFrame([("a", "gone"), ("b", "a"), ("c", "b"), ("d", None), ("e", "d"), ("x", "y"), ("y", "x"), ("z", "x")], "n string, p string")
+    found = hierarchy.hierarchy(links, "n", "p")
+    got = {r["n"]: "/".join(r["path"]) for r in hierarchy.paths(links, "n", "p", found).collect()}
+    assert got == {"a": "gone/a", "b": "gone/a/b", "c": "gone/a/b/c", "d": "d", "e": "d/e", "x": "x", "y": "y", "z": "x/z"}
