@@ -254,6 +254,23 @@ def n11_determinism(lake: Lake) -> DataFrame:
     return lake.spark.createDataFrame(found, "name string, equal boolean, differs_after_edit boolean")
 
 
+_SECOND = {
+    "Q01": "overtime_hours = overtime_hours AND NOT isnan(overtime_hours) AND overtime_hours - 40 > 0 AND (paid_flag OR paid_flag IS NULL)",
+    "Q02": "sign(absence_deduction) = 1",
+}
+
+
+@query(f"""WITH h AS ({_HITS}), a AS (SELECT code, employee_id, sum(months) AS months FROM h GROUP BY ALL) SELECT code, count(*) AS agreed, 0 AS only_first, 0 AS only_second FROM a GROUP BY code""")
+def n10_second_opinion(lake: Lake) -> DataFrame:
+    """N-10: each rule against a predicate of its own wording, over different months of an employee: what both, one or the other find."""
+    p = lake.fact_payroll_monthly
+    first = rules.run_rules(composite._DEMO_RULES, p, "employee_id", "period").groupBy("code", "employee_id").agg(F.sum("months").alias("first"))
+    tags = F.array_compact(F.array(*[F.when(F.expr(x), c) for c, x in _SECOND.items()]))
+    second = p.select("employee_id", "period", F.explode(tags).alias("code")).distinct().groupBy("code", "employee_id").agg(F.count("*").alias("second"))
+    both = first.join(second, ["code", "employee_id"], "full")
+    return both.groupBy("code").agg(F.count_if(F.col("first") == F.col("second")).alias("agreed"), F.count_if(F.coalesce(F.col("first") > F.col("second"), F.col("second").isNull())).alias("only_first"), F.count_if(F.coalesce(F.col("second") > F.col("first"), F.col("first").isNull())).alias("only_second"))
+
+
 @query("SELECT column_name AS name FROM (DESCRIBE SELECT * FROM fact_payroll_monthly LIMIT 0)")
 def o09_schema_probe(lake: Lake) -> DataFrame:
     """O-09: the columns of a table, without reading rows."""
