@@ -12,9 +12,10 @@ from sarraf.sources.catalog import Lake
 
 def _ties(lake: Lake) -> DataFrame:
     who = norm_id("employee_id").alias("employee_id")
-    iban, nid = bare_code("iban"), bare_code("national_id")
-    banks = lake.fact_bank_account.select(who, F.when(iban_ok(iban), F.concat(F.lit("iban:"), iban)).alias("tie"))
-    people = lake.employee_master.select(who, F.when(national_id_ok(nid), F.concat(F.lit("id:"), nid)).alias("tie"))
+    iban, nid = bare_code("iban").alias("bare"), bare_code("national_id").alias("bare")
+    tie = lambda rows, kind, ok: rows.select("employee_id", F.when(ok("bare"), F.concat(F.lit(f"{kind}:"), "bare")).alias("tie"))
+    banks = tie(lake.fact_bank_account.select(who, iban), "iban", iban_ok)
+    people = tie(lake.employee_master.select(who, nid), "id", national_id_ok)
     earlier = lake.graph_components.select(who, F.concat(F.lit("component:"), norm_word("component_id")).alias("tie"))
     return banks.unionByName(people).unionByName(earlier)
 
