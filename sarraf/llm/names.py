@@ -304,8 +304,8 @@ def group_pairs(groups: DataFrame, node: str, group: str) -> DataFrame:
     return left.join(right, "_g").where("a < b").select("a", "b")
 
 
-def usable_number(bare: Column) -> Column:
-    """A document number that is no placeholder: not one digit throughout, no counting up or down."""
-    digits = F.regexp_replace(bare, "[^0-9]", "")
-    placeholder = (F.length(digits) < 5) | digits.rlike(r"^(\d)\1*$") | digits.substr(2, 99).rlike(r"^(\d)\1*$") | digits.isin("1234567890", "0123456789", "9876543210", "123456789")
+def usable_number(bare: Column, digits: Column) -> Column:
+    """A document number that is no placeholder: not one digit throughout, no counting up or down. `digits` are those of `bare`."""
+    one = lambda c: F.length(F.replace(c, F.left(c, F.lit(1)), F.lit(""))) == 0
+    placeholder = (F.length(digits) < 5) | one(digits) | one(F.substring(digits, 2, 99)) | digits.isin("1234567890", "0123456789", "9876543210", "123456789")
     return F.when(~placeholder, bare)

@@ -12,9 +12,13 @@ from sarraf.sources.catalog import Lake
 
 
 def _people(lake: Lake) -> DataFrame:
-    numbers = [F.concat(F.lit(kind), names.usable_number(bare_code(c))) for kind, c in (("p:", "passport_no"), ("n:", "national_id"), ("i:", "iqama_no"))]
-    born = F.concat(F.lit("d:"), F.date_format("dob", "yyyy-MM-dd"))
-    return lake.employee_master.select(norm_id("employee_id").alias("id"), "name_en", "name_ar", F.array_compact(F.array(born, *numbers)).alias("keys"))
+    kinds = {"p": "passport_no", "n": "national_id", "i": "iqama_no"}
+    born = F.concat(F.lit("d:"), F.date_format("dob", "yyyy-MM-dd")).alias("born")
+    # Step by step, so that no pattern is gone through twice for a row.
+    rows = lake.employee_master.select(norm_id("employee_id").alias("id"), "name_en", "name_ar", born, *[bare_code(c).alias(k) for k, c in kinds.items()])
+    rows = rows.select("*", *[F.regexp_replace(k, "[^0-9]", "").alias(f"{k}_digits") for k in kinds])
+    numbers = [F.concat(F.lit(f"{k}:"), names.usable_number(F.col(k), F.col(f"{k}_digits"))) for k in kinds]
+    return rows.select("id", "name_en", "name_ar", F.array_compact(F.array("born", *numbers)).alias("keys"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
