@@ -113,12 +113,8 @@ def _entries(lists: pa.ListArray, size: int, weighing: np.ndarray | None = None)
     foreign = np.bincount(passage[word < 0], minlength=n)
     known = word >= 0 if weighing is None else np.r_[weighing, False][word]  # -1 is the last
     cells = passage[known] * size + word[known]
-    if n * size <= 1 << 26:
-        table = np.zeros(n * size, bool)
-        table[cells] = True
-        pairs = np.flatnonzero(table)
-    else:
-        pairs = np.unique(cells)
+    cells.sort()
+    pairs = cells[np.diff(cells, prepend=-1) > 0]
     return pairs // size, pairs % size, foreign, doc, n
 
 
@@ -238,6 +234,33 @@ def common_subsequence(masks: dict[int, int], length: int, sequence: list[int])
     return length - row.bit_count()
 
 
+def coverable_words(masks: dict[int, int], doc: list[int]) -> int:
+    """At least as many words of an item as `covered_words` finds in common runs with a document.
+
+    `masks` has for each word of the item the bits of its places. A run has three equal words
+    or more, each one or two places after the one before in both texts, so whatever it holds
+    are places of such chains and single places between two of them.
+    """
+    seen = m1 = m2 = m3 = m4 = t1 = t2 = 0  # equal places, and those that end a chain of two, some words before
+    place = masks.get
+    for word in doc:
+        m = place(word, 0)
+        two = 0
+        if m:
+            before = m1 | m2
+            two = m & (before << 1 | before << 2)
+            if two:
+                before = t1 | t2
+                three = two & (before << 1 | before << 2)
+                if three:
+                    back = three >> 1 | three >> 2
+                    b1, b2 = t1 & back, t2 & back
+                    c1, c2 = b1 >> 1 | b1 >> 2, b2 >> 1 | b2 >> 2
+                    seen |= three | b1 | b2 | (m2 | m3) & c1 | (m3 | m4) & c2
+        m1, m2, m3, m4, t1, t2 = m, m1, m2, m3, two, t1
+    return (seen | seen << 1 & seen >> 1).bit_count()
+
+
 def covered_words(item: np.ndarray, doc: list[int], fact: np.ndarray, least: int = 3) -> tuple[int, int, int]:
     """(words of the item in common runs, facts in them, those facts agreed on).
 
@@ -291,13 +314,16 @@ def find_leaks(documents: DataFrame, doc: str, text: str, items: DataFrame, item
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 
-def verified(item: np.ndarray, pieces: list[tuple[dict[int, int], int]], fact: np.ndarray, doc: list[int], share: float) -> float | None:
+def verified(item: np.ndarray, pieces: list[tuple[dict[int, int], int]], fact: np.ndarray, doc: list[int], share: float, masks: dict[int, int] | None = None) -> float | None:
     """The share of the words of an item that stand in a document, None if it is under `share` or the facts differ.
 
     First the longest common subsequences of the item's pieces with the document, which may
-    have them in any order; then the common runs and their facts.
+    have them in any order; then the common runs and their facts. With `masks`, the places of
+    the whole item, pairs that can't have enough words in runs are told before.
     """
     need = share * len(item)
+    if masks is not None and coverable_words(masks, doc) < need:
+        return None
     if sum(common_subsequence(masks, n, doc) for masks, n in pieces) < 0.5 * need:
         return None
     inside, told, true = covered_words(item, doc, fact)
@@ -306,13 +332,15 @@ def verified(item: np.ndarray, pieces: list[tuple[dict[int, int], int]], fact: n
 
 def item_pieces(item: list[int]) -> list[tuple[dict[int, int], int]]:
     """For each stretch of at most `WIDTH` words the bits of the places of its words, and its length."""
-    pieces = []
-    for s in range(0, len(item), WIDTH):
-        masks: dict[int, int] = {}
-        for i, w in enumerate(item[s : s + WIDTH]):
-            masks[w] = masks.get(w, 0) | 1 << i
-        pieces.append((masks, len(item[s : s + WIDTH])))
-    return pieces
+    return [(item_places(item[s : s + WIDTH]), len(item[s : s + WIDTH])) for s in range(0, len(item), WIDTH)]
+
+
+def item_places(item: list[int]) -> dict[int, int]:
+    """For each word the bits of its places."""
+    masks: dict[int, int] = {}
+    for i, w in enumerate(item):
+        masks[w] = masks.get(w, 0) | 1 << i
+    return masks
 
 
 def fact_words(fitted: Items, idf: np.ndarray) -> np.ndarray:
@@ -340,6 +368,8 @@ def _find(documents: DataFrame, doc: str, text: str, fitted: Items, share: float
     isfact = fact_words(fitted, idf)
     facts = [isfact[t] for t in fitted.texts]
     pieces = [item_pieces(t) for t in lists]
+    # The places of a very long item would be long numbers for each of its words.
+    places = [item_places(t) if len(t) <= 4096 else None for t in lists]
     texts = fitted.texts
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +385,7 @@ def _find(documents: DataFrame, doc: str, text: str, fitted: Items, share: float
                 _add_lines(latent, (np.cumsum(able) - 1)[row], w[:, None] * basis[word])
                 lengths = np.linalg.norm(latent, axis=1, keepdims=True)
                 latent /= np.where(lengths == 0, 1, lengths)
-                r, q = np.nonzero(latent @ queries.T >= near)
+                r, q = np.divmod(np.flatnonzero(latent @ queries.T >= near), len(queries))
                 pairs = np.unique(owner_doc[at[r]].astype(np.int64) * len(texts) + owner[q])
                 if not len(pairs):
                     continue
@@ -363,7 +393,7 @@ def _find(documents: DataFrame, doc: str, text: str, fitted: Items, share: float
                 for d, i in zip((pairs // len(texts)).tolist(), (pairs % len(texts)).tolist()):
                     if d != last:
                         mine, last = flat[offsets[d] : offsets[d + 1]].tolist(), d
-                    told = verified(texts[i], pieces[i], facts[i], mine, share)
+                    told = verified(texts[i], pieces[i], facts[i], mine, share, places[i])
                     if told is not None:
                         found.append((d, i, told))
                 at_doc = pa.array([start + f[0] for f in found], pa.int64())

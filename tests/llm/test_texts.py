@@ -74,6 +74,28 @@ def test_search_misses_no_pair_that_verification_accepts(spark):
     assert len(list(leakage.fit_items(table, "i", "t", 150))) > 2 and len(parts & want) >= 0.95 * len(want)
 
 
+def test_words_in_chains_bound_words_in_runs_and_spare_comparisons(monkeypatch):
+    rng = random.Random(5)
+    compared, plain = [], leakage.covered_words
+    monkeypatch.setattr(leakage, "covered_words", lambda *x: compared.append(1) or plain(*x))
+    told = {True: 0, False: 0}
+    for k in range(900):
+        own = [rng.randrange(8 if k % 3 else 60) for _ in range(rng.randrange(1, 90))]
+        doc = [rng.choice([-1, *own]) for _ in range(rng.randrange(120))]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(own))
+            doc[len(doc) // 2 : len(doc) // 2] = [w for w in own[at : at + rng.randrange(1, 60)] if rng.random() < 0.85]
+        item_, fact, pieces, places = np.array(own), np.array([w % 5 == 0 for w in own]), leakage.item_pieces(own), leakage.item_places(own)
+        assert plain(item_, doc, fact)[0] <= leakage.coverable_words(places, doc) <= len(own)
+        results = []
+        for masks in (None, places):
+            compared.clear()
+            results.append(leakage.verified(item_, pieces, fact, doc, 0.5, masks))
+            told[masks is None] += len(compared)
+        assert results[0] == results[1]
+    assert 0 < told[False] < 0.85 * told[True]
+
+
 def test_latent_basis_spans_the_leading_directions(spark):
     items = spark.createDataFrame([(i, item(i)) for i in range(6)], "i long, t string")
     (fitted,) = leakage.fit_items(items, "i", "t")
