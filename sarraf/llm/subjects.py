@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +31,14 @@ from sarraf.session import cut, drop
 
 #: Marks of Arabic writing that carry no letter, and letters written for one another.
 _MARKS = re.compile("[ً-ٰٟـ­​‌‍]")
-_LETTERS = str.maketrans("أإآىة", "ااايه")
+_LETTERS = tuple(zip("أإآىة", "ااايه"))
 _BLOCK = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"[.!؟]+(?:\s+|$)|\n")
 _WORD = re.compile(r"[^\W\d_]{3,}")
+_PLAIN_WORD = re.compile("[a-z]{3,}")  # the same where all characters are ASCII, in half the time
 _INNER = re.compile(r"[.!?؟]\s")
 
 
-@lru_cache(maxsize=1 << 18)
 def term_number(word: str) -> int:
     """A stable number of 63 bits for a word; an article or a preposition glued to an Arabic word is taken off."""
     if "\u0600" < word[0] < "\u06ff":
@@ -50,16 +49,29 @@ def term_number(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big") >> 1
 
 
-def sentences(text: str) -> tuple[list[list[int]], list[int]]:
-    """The terms of each sentence, and the number of the paragraph it stands in.
+class _Numbers(dict):
+    """The numbers of the words met last."""
 
-    Blank lines end a paragraph, and so does a line of several sentences; lines of one
-    sentence each are one paragraph together.
-    """
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        number = self[word] = term_number(word)
+        return number
+
+
+_number = _Numbers().__getitem__
+
+
+def _read(text: str, terms: list[int], sizes: list[int], places: list[int]) -> None:
+    """Adds the terms of all sentences, and the size and the number of the paragraph of each."""
     text = text.lower()
+    words = _PLAIN_WORD.findall
     if not text.isascii():
-        text = _MARKS.sub("", text.translate(_LETTERS))
-    terms, places, paragraph = [], [], 0
+        words = _WORD.findall
+        for letter, plain in _LETTERS:
+            text = text.replace(letter, plain)
+        text = _MARKS.sub("", text)
+    paragraph = 0
     for block in _BLOCK.split(text):
         single = False
         for line in block.split("\n"):
@@ -68,11 +80,23 @@ def sentences(text: str) -> tuple[list[list[int]], list[int]]:
                 paragraph += 1
             single = not many
             for s in _SENTENCE.split(line):
-                found = _WORD.findall(s)
+                found = words(s)
                 if found:
-                    terms.append([term_number(w) for w in found])
+                    terms += map(_number, found)
+                    sizes.append(len(found))
                     places.append(paragraph)
-    return terms, places
+
+
+def sentences(text: str) -> tuple[list[list[int]], list[int]]:
+    """The terms of each sentence, and the number of the paragraph it stands in.
+
+    Blank lines end a paragraph, and so does a line of several sentences; lines of one
+    sentence each are one paragraph together.
+    """
+    flat, sizes, places = [], [], []
+    _read(text, flat, sizes, places)
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [flat[end - n : end] for end, n in zip(ends, sizes)], places
 
 
 _ODD, _ALL, _PLUS = 0x9E3779B97F4A7C15, 2**64 - 1, 2**63 - 1
@@ -117,20 +141,17 @@ def code_documents(documents: DataFrame, doc: str, text: str, worded: Iterator[f
     first, following = next(parts, frozenset()), next(parts, None)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _sorted(first)
         for batch in batches:
-            terms, sizes, places, hits = [], [], [], []
+            terms, sizes, places, n_words, n_sentences = [], [], [], [0], [0]
             for t in batch.column(1).to_pylist():
-                flat, n, at, h = [], [], [], []
-                for s, p in zip(*sentences(t)):
-                    flat += s
-                    n.append(len(s))
-                    at.append(p)
-                    h.append(sum(map(first.__contains__, _pairs(s))) if first and len(s) > 2 else 0)
-                terms.append(flat)
-                sizes.append(n)
-                places.append(at)
-                hits.append(h)
-            yield _batch(batch.column(0), pa.array(terms, pa.list_(pa.int64())), *[pa.array(x, pa.list_(pa.int32())) for x in (sizes, places, hits)])
+                _read(t, terms, sizes, places)
+                n_words.append(len(terms))
+                n_sentences.append(len(sizes))
+            flat, n = np.array(terms, np.int64), np.array(sizes, np.int32)
+            ends = pa.array(n_sentences, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (n, np.array(places, np.int32), _hits(flat, n, known))]
+            yield _batch(batch.column(0), pa.ListArray.from_arrays(pa.array(n_words, pa.int32()), pa.array(flat)), *lists)
 
     rows = documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text")).where("doc is not null and text is not null")
     coded = rows.mapInArrow(code, _CODED)
@@ -147,16 +168,28 @@ def _sentence_of(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(sizes)), sizes)
 
 
+def _sorted(worded: frozenset[int]) -> np.ndarray:
+    return np.sort(np.fromiter(worded, np.int64, len(worded)))
+
+
+def _hits(flat: np.ndarray, sizes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How many word pairs of each sentence are in `known`; sentences of one or two words have none."""
+    pairs, low = _pairs_of(flat), np.zeros(1 << 20, bool)
+    low[known & (len(low) - 1)] = True
+    at = np.flatnonzero(low[pairs & (len(low) - 1)])  # most pairs end here
+    at = at[np.isin(pairs[at], known)]
+    of = _sentence_of(sizes)
+    at = at[at + 1 < len(of)]
+    at = at[(of[at] == of[at + 1]) & (sizes[of[at]] > 2)]
+    return np.bincount(of[at], minlength=len(sizes)).astype(np.int32)
+
+
 def _more_hits(worded: frozenset[int]):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.sort(np.fromiter(worded, np.int64, len(worded)))
+        known = _sorted(worded)
         for batch in batches:
             sizes, flat, hits = (batch.column(c).flatten().to_numpy() for c in ("sizes", "terms", "hits"))
-            of = _sentence_of(sizes)
-            within = np.r_[of[1:] == of[:-1], False] if len(of) else np.zeros(0, bool)
-            found = np.isin(_pairs_of(flat), known) & within & (sizes[of] > 2)
-            more = hits + np.bincount(of[found], minlength=len(sizes)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(_offsets(batch.column("hits")), pa.array(more.astype(np.int32)))
+            lists = pa.ListArray.from_arrays(_offsets(batch.column("hits")), pa.array(hits + _hits(flat, sizes, known)))
             yield _batch(*[batch.column(c) for c in ("doc", "terms", "sizes", "places")], lists)
 
     return add
@@ -250,6 +283,24 @@ def _gathered(rows: DataFrame, key: str) -> DataFrame:
     return sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("s", "w"))).alias("shares")).select(key, _normal("shares").alias("shares"))
 
 
+def _weighed(shares: str, factor: Column) -> Column:
+    return F.transform(F.coalesce(shares, F.array().cast("array<struct<s:int,w:double>>")), lambda x: F.struct(x["s"].alias("s"), (x["w"] * factor).alias("w")))
+
+
+def _mixed(means: DataFrame, held: DataFrame, clamp: float) -> DataFrame:
+    """`doc`, `shares` of `means`, those of the seeds `held` drawn by `clamp` towards their labels.
+
+    Both have one row a document and one entry a subject, so a document is mixed within its row.
+    """
+    both = means.join(held.withColumnRenamed("shares", "_held"), "doc", "full")
+    all_ = F.concat(_weighed("shares", F.when(F.col("_held").isNull(), 1.0).otherwise(1 - clamp)), _weighed("_held", F.lit(clamp)))
+    # Only rows that have both can have a subject twice.
+    once = F.transform(F.array_sort(F.array_distinct(F.transform("_all", lambda x: x["s"]))), lambda s: F.struct(s.alias("s"), F.aggregate(F.filter("_all", lambda x: x["s"] == s), F.lit(0.0), lambda a, x: a + x["w"]).alias("w")))
+    summed = F.when(F.col("shares").isNull() | F.col("_held").isNull(), F.col("_all")).otherwise(once)
+    rows = both.withColumn("_all", all_).select("doc", F.filter(summed, lambda x: x["w"] > 0).alias("shares"))
+    return rows.where("size(shares) > 0").select("doc", _normal("shares").alias("shares"))
+
+
 def _term_shares(nodes: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """`term`, `n`, `shares`: the mean subjects of the documents with a term, subjects evened out by their size.
 
@@ -293,14 +344,10 @@ def propagate(coded: DataFrame, seeds: DataFrame, rounds: int = 12, tolerance: f
     for _ in range(rounds):
         # A term counts the more, the surer it is.
         sharp = terms.where(_strength()[0] >= 0.5 * sure).select("term", F.transform("shares", lambda x: F.struct(x["s"].alias("s"), (x["w"] * x["w"]).alias("w"))).alias("shares"))
-        reached = found.select("doc", F.explode("terms").alias("term")).join(sharp, "term").select("doc", F.inline("shares"))
-        means = _gathered(reached, "doc")
-        both = means.join(held.withColumnRenamed("shares", "_held"), "doc", "full")
-        weigh = lambda c, f: F.transform(F.coalesce(c, F.array().cast("array<struct<s:int,w:double>>")), lambda x: F.struct(x["s"].alias("s"), (x["w"] * f).alias("w")))
-        mine = F.when(F.col("_held").isNull(), 1.0).otherwise(1 - clamp)
-        mixed = _gathered(both.select("doc", F.inline(F.concat(weigh("shares", mine), weigh("_held", F.lit(clamp))))), "doc")
+        # A document's terms are one row until here, so all that follows can stay with it.
+        reached = found.repartition("doc").select("doc", F.explode("terms").alias("term")).join(sharp, "term").select("doc", F.inline("shares"))
         drop(docs)
-        docs = cut(mixed)
+        docs = cut(_mixed(_gathered(reached, "doc"), held, clamp))
         # Small shares are noise of common terms; what is left keeps its several subjects.
         clear = docs.select("doc", F.filter("shares", lambda x: x["w"] >= 0.15).alias("shares")).where("size(shares) > 0").select("doc", _normal("shares").alias("shares"))
         now = cut(_term_shares(found, clear, 3).join(trusted, "term", "left_semi"))
@@ -316,7 +363,7 @@ def propagate(coded: DataFrame, seeds: DataFrame, rounds: int = 12, tolerance: f
 
 
 def _occurrences(coded: DataFrame, terms: np.ndarray) -> DataFrame:
-    """`doc`, `place`, `sentence`, `term`: where the terms that pass the filter stand."""
+    """`doc`, `spot` (number of the sentence, and of its paragraph in the last 32 bits), `term`: where the terms that pass the filter stand."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,9 +373,9 @@ def _occurrences(coded: DataFrame, terms: np.ndarray) -> DataFrame:
             at = np.flatnonzero(maybe_in(terms, flat))
             sentence = _sentence_of(sizes)[at]
             of_doc = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("sizes").offsets.to_numpy()))[sentence]
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(of_doc)), pa.array(places[sentence]), pa.array(sentence.astype(np.int64)), pa.array(flat[at])], names=["doc", "place", "sentence", "term"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(of_doc)), pa.array(sentence.astype(np.int64) << 32 | places[sentence]), pa.array(flat[at])], names=["doc", "spot", "term"])
 
-    return coded.mapInArrow(find, "doc long, place int, sentence long, term long")
+    return coded.mapInArrow(find, "doc long, spot long, term long")
 
 
 def paragraphs_about(coded: DataFrame, terms: DataFrame, least: int, part: float) -> DataFrame:
@@ -340,12 +387,14 @@ def paragraphs_about(coded: DataFrame, terms: DataFrame, least: int, part: float
     """
     top = _strength()[0]
     votes = terms.select("term", F.filter(F.transform("shares", lambda x: F.struct(x["s"].alias("s"), ((x["w"] / top) * (x["w"] / top)).alias("v"))), lambda x: x["v"] >= 0.02).alias("votes"))
-    said = _occurrences(coded, key_filter(terms, "term")).join(votes, "term").select("doc", "place", "sentence", F.inline("votes"))
+    said = _occurrences(coded, key_filter(terms, "term")).join(votes, "term").select("doc", "spot", F.inline("votes"))
     said = said.repartition("doc")  # all that follows stays with the document
-    scores = said.groupBy("doc", "place", "sentence", "s").agg(F.sum("v").alias("v"))
-    best = F.max(F.struct("v", (-F.col("s")).alias("_s"))).alias("best")
-    clear = scores.groupBy("doc", "place", "sentence").agg(best, F.sum("v").alias("all")).where(F.col("best.v") >= F.greatest(F.lit(0.9), 0.5 * F.col("all")))
-    cells = clear.groupBy("doc", "place", (-F.col("best._s")).alias("s")).agg(F.count("*").alias("n"))
+    scores = said.groupBy("doc", "spot", "s").agg(F.sum("v").alias("v"))
+    # No votes are nil, so of several best subjects only two alone can hold half each: then the first. Plain
+    # values are gathered in hash tables, a greatest struct would have the rows sorted.
+    told = scores.groupBy("doc", "spot").agg(F.max("v").alias("v"), F.min("v").alias("_least"), F.sum("v").alias("all"), F.max_by("s", "v").alias("_best"), F.min("s").alias("_first"))
+    clear = told.where(F.col("v") >= F.greatest(F.lit(0.9), 0.5 * F.col("all"))).select("doc", F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).alias("place"), F.when(F.col("v") == F.col("_least"), F.col("_first")).otherwise(F.col("_best")).alias("s"))
+    cells = clear.groupBy("doc", "place", "s").agg(F.count("*").alias("n"))
     whole = cells.withColumn("all", F.sum("n").over(Window.partitionBy("doc", "place")))
     return whole.where((F.col("n") >= least) & (F.col("n") >= part * F.col("all"))).select("doc", "s").distinct()
 

@@ -1,6 +1,7 @@
 """Leaked passages, mixtures and subjects on small texts, against brute force where there is one."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -261,3 +262,51 @@ def test_propagation_reaches_unlabelled_documents_and_keeps_several_subjects(spa
     got = {r["doc"]: {x["s"] for x in r["shares"] if x["w"] >= 0.2} for r in shares.collect()}
     assert got == {i: [{1}, {2}, {3}, {1, 2}][i % 4] for i in range(120)}
     assert terms.count() >= 30
+
+
+def test_texts_are_read_as_by_the_plain_patterns():
+    rng = random.Random(9)
+    for k in range(3000):
+        letters = "abZ9, _.\n-!?" if k % 2 else "aZ9,_ .\n-!؟?ßİſ٣۴أىة٬ـَé中"
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(50)))
+        plain = text.lower().translate(str.maketrans("أإآىة", "ااايه"))
+        assert [w for s in subjects.sentences(text)[0] for w in s] == [subjects.term_number(w) for w in re.findall(r"[^\W\d_]{3,}", subjects._MARKS.sub("", plain))]
+        digits = text.lower().translate(str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹أإآىة", "01234567890123456789ااايه"))
+        want = re.findall(r"\d[\d,٬]*|[^\W_]+", leakage._MARKS.sub("", digits).replace("٬", ",").replace("-\n", ""))
+        assert leakage.words(text) == [w.replace(",", "") for w in want]
+
+
+def test_pairs_of_sentences_are_counted_as_one_by_one():
+    rng = random.Random(4)
+    told = [[rng.randrange(1, 6) << 55 | 7 for _ in range(rng.choice([1, 2, 3, 9]))] for _ in range(200)]
+    known = frozenset(rng.sample(sorted({p for s in told for p in subjects._pairs(s)}), 9))
+    for part in (told, told[:1], []):
+        got = subjects._hits(np.array([w for s in part for w in s], np.int64), np.array([len(s) for s in part], np.int32), subjects._sorted(known))
+        assert got.tolist() == [sum(p in known for p in subjects._pairs(s)) if len(s) > 2 else 0 for s in part]
+
+
+def test_seeds_are_mixed_within_rows(spark):
+    kind = "doc long, shares array<struct<s:int,w:double>>"
+    means = {1: {1: 0.5, 2: 0.5}, 2: {3: 1.0}, 3: {1: 0.25, 4: 0.75}}
+    held = {1: {2: 1.0}, 3: {1: 0.5, 2: 0.5}, 4: {5: 0.5, 6: 0.5}}
+    tables = [spark.createDataFrame([(d, [*x.items()]) for d, x in t.items()], kind) for t in (means, held)]
+    for clamp in (0.8, 0.0):
+        want = {}
+        for d in {*means, *held}:
+            m, h, c = means.get(d, {}), held.get(d, {}), clamp if d in held else 0.0
+            w = {s: x for s in sorted({*m, *h}) if (x := m.get(s, 0) * (1 - c) + h.get(s, 0) * c) > 0}
+            if w:
+                want[d] = [(s, round(x / sum(w.values()), 9)) for s, x in w.items()]
+        rows = subjects._mixed(*tables, clamp).collect()
+        assert len(rows) == len(want) and {r["doc"]: [(x["s"], round(x["w"], 9)) for x in r["shares"]] for r in rows} == want
+
+
+def test_sentences_take_the_first_of_two_equal_subjects_without_sorting(spark):
+    share = {1: {1: 1.0}, 2: {2: 1.0}, 3: {3: 1.0}, 4: {7: 0.6, 2: 0.4}}
+    terms = spark.createDataFrame([(t, [*x.items()]) for t, x in share.items()], "term long, shares array<struct<s:int,w:double>>")
+    texts = {1: [[2, 1], [1, 2]], 2: [[1, 2, 3], [3, 2, 1]], 3: [[4, 4], [4]], 4: [[2, 2, 1], [2], [3]], 5: [[9], [3]]}
+    rows = [(d, [w for s in t for w in s], [len(s) for s in t], [1] * len(t)) for d, t in texts.items()]
+    coded = spark.createDataFrame(rows, "doc long, terms array<long>, sizes array<int>, places array<int>")
+    about = subjects.paragraphs_about(coded, terms, 2, 0.35)
+    assert {tuple(r) for r in about.collect()} == {(1, 1), (3, 7), (4, 2)}
+    assert "SortAggregate" not in about._jdf.queryExecution().sparkPlan().toString()
