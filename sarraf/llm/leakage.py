@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from sarraf.session import cut
 
 #: Digits of other scripts, and letters of Arabic written for one another.
-_PLAIN = str.maketrans("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹أإآىة", "01234567890123456789ااايه")
+_PLAIN = tuple(zip("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹أإآىة", "01234567890123456789ااايه"))
 _MARKS = re.compile("[ً-ٰٟـ­​‌‍]")
 _WORD = re.compile(r"\d[\d,٬]*|[^\W_]+")
+_PLAIN_WORD = re.compile("[a-z][a-z0-9]*|[0-9][0-9,]*")  # the same where all characters are ASCII
 
 WIDTH, STEP = 24, 12  # words of a passage; passages overlap by half
 
@@ -37,11 +38,15 @@ WIDTH, STEP = 24, 12  # words of a passage; passages overlap by half
 def words(text: str) -> list[str]:
     """The words of a text without case, marks and punctuation; long numbers without separators."""
     text = text.lower()
+    pattern = _PLAIN_WORD
     if not text.isascii():
-        text = _MARKS.sub("", text.translate(_PLAIN)).replace("٬", ",")
+        pattern = _WORD
+        for odd, plain in _PLAIN:
+            text = text.replace(odd, plain)
+        text = _MARKS.sub("", text).replace("٬", ",")
     if "-\n" in text:
         text = text.replace("-\n", "")
-    found = _WORD.findall(text)
+    found = pattern.findall(text)
     return [w.replace(",", "") for w in found] if "," in text else found
 
 
